@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, huffman, packing, simhash
+from . import ann, chat, huffman, packing, simhash, telephony
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ FROM v GROUP BY conv_id
 """
 
 
+def op2_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = huffman.write(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return huffman.read(spark, path).select("doc_id", "start", F.expr("length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
@@ -67,6 +71,20 @@ def op7_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = telephony.decode(telephony.store(_table(spark, sf_dir, "documents")))
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat("features", F.lit(";pcm="), F.lower(F.lpad(F.hex(F.crc32("pcm")), 8, "0"))).alias("feature"),
+    )
+
+
 def op10_simhash_byte_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
