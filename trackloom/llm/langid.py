@@ -208,10 +208,13 @@ def train(labelled: DataFrame, *, per_lang: int = 300, cuts: int = 4, window: in
     return model
 
 
-def predict(docs: DataFrame, model: BiGRU | None, *, window: int = 240, warm: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score: the pooled probability of the likeliest language."""
+def predict(docs: DataFrame, model: BiGRU | None, *, window: int = 240, warm: int = 8, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """doc_id, lang_pred, score (the pooled probability of the likeliest language), and the columns kept."""
+    carried = {f"k{i}": name for i, name in enumerate(keep or [])}
+    rows = project(docs, doc_id=id_col, text=text_col, **carried).withColumn("doc_id", F.col("doc_id").cast("long"))
+    named = [F.col(k).alias(name) for k, name in carried.items()]
     if model is None:
-        return project(docs, doc_id=id_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return rows.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), *named)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,9 +230,10 @@ def predict(docs: DataFrame, model: BiGRU | None, *, window: int = 240, warm: in
                     for i, row in zip(live, p, strict=True):
                         k = int(row.argmax())
                         lang[i], score[i] = model.langs[k], min(1.0, float(row[k]))
-                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(lang), pa.array(score)], names=["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang), pa.array(score), *(b.column(k) for k in carried)], names=["doc_id", "lang_pred", "score", *carried])
 
-    return project(docs, doc_id=id_col, text=text_col).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return rows.mapInArrow(run, ", ".join(["doc_id long", "lang_pred string", "score double", *(f"{k} {kinds[k]}" for k in carried)])).select("doc_id", "lang_pred", "score", *named)
 
 
 def held_out(column: Column, parts: int = 5, part: int = 0) -> Column:

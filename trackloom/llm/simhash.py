@@ -70,17 +70,18 @@ def fingerprints_of(texts: list[str], shingle: int = 3, seed: int = 42) -> np.nd
     return out
 
 
-def fingerprints(docs: DataFrame, *, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp: the fingerprint's bits as a signed long."""
+def fingerprints(docs: DataFrame, *, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
+    """doc_id, key (a long that the caller names, else null), fp: the fingerprint's bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 b = batch.slice(a, 500)
                 fp = fingerprints_of([t or "" for t in b.column(1).to_pylist()], shingle, seed)
-                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), pa.array(fp.view(np.int64))], names=["doc_id", "key", "fp"])
 
-    return project(docs, doc_id=id_col, text=text_col).mapInArrow(run, "doc_id long, fp long")
+    rows = project(docs, doc_id=id_col, text=text_col).withColumn("key", F.lit(None).cast("long")) if key_col is None else project(docs, doc_id=id_col, text=text_col, key=key_col)
+    return rows.mapInArrow(run, "doc_id long, key long, fp long")
 
 
 def spanning_links(members: np.ndarray, bits: int) -> list[tuple[int, int]]:
@@ -153,13 +154,29 @@ def components(edges: DataFrame) -> DataFrame:
         now = then
 
 
-def near_duplicates(docs: DataFrame, *, bits: int = 2, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (least id of the class), one row a document."""
-    fps = materialise(fingerprints(docs, shingle=shingle, seed=seed, id_col=id_col, text_col=text_col), "fingerprints")
+def _classes(fps: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """(fp, least id, root) of the distinct fingerprints, and (root, component_id)."""
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(distinct.select("fp"), bits))
-    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("of"), "least", F.coalesce("root", "fp").alias("root"))
     rooted = materialise(rooted, "roots")
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(named, "root").select(F.col("fp").alias("of"), "component_id")
+    return rooted, rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, *, bits: int = 2, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (least id of the class), one row a document."""
+    fps = materialise(fingerprints(docs, shingle=shingle, seed=seed, id_col=id_col, text_col=text_col).select("doc_id", "fp"), "fingerprints")
+    rooted, named = _classes(fps, bits)
+    classes = rooted.join(named, "root").select("of", "component_id")
     return fps.join(classes, F.col("fp") == F.col("of")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, *, bits: int = 2, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: of each class the one with the least id (null ids last), once."""
+    keyed = docs.withColumn("_tl_key", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    fps = materialise(fingerprints(keyed, shingle=shingle, seed=seed, id_col=id_col, text_col=text_col, key_col="_tl_key"), "fingerprints")
+    rooted, _ = _classes(fps, bits)
+    each = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "key")).alias("first"))
+    kept = each.join(rooted, F.col("fp") == F.col("of")).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("kept_key"))
+    same = keyed.join(kept, F.col("_tl_key") == F.col("kept_key"), "left_semi")
+    return same.dropDuplicates(["_tl_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
