@@ -5,7 +5,8 @@ of core points, numbered from 1 by their least core pt_id; a border point joins
 smallest numbered cluster with a core neighbour; the rest is noise, 0.
 
 Core points in one cell of side eps / sqrt 2 are neighbours, so components are found over
-cells instead of points: what iterates is a graph of occupied cells, not of pairs.
+cells instead of points (He et al. 2011; Gan and Tao 2015): what iterates is a graph of
+occupied cells, not of pairs.
 """
 
 from __future__ import annotations
@@ -16,34 +17,99 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.geo import METRES_PER_DEGREE, cell
+from ..functions.geo import METRES_PER_DEGREE, cell, check_metric, distance
 from ..work import materialise
 from .graph import components
-from .neighbors import eps_edges, neighbor_counts
+from .neighbors import eps_edges, max_abs_lat, neighbor_counts
+
+
+#: Links between cells that the driver may join (a few MB); beyond it rounds run on the cluster.
+FEW_LINKS = 100_000
 
 
 def core_points(points: DataFrame, eps: float, min_samples: int, metric: str = "euclidean", edges: DataFrame | None = None) -> DataFrame:
     return neighbor_counts(points, eps, metric, edges).withColumn("is_core", F.col("n_neighbors") >= min_samples)
 
 
-def dbscan(points: DataFrame, eps: float, min_samples: int = 5, metric: str = "euclidean", edges: DataFrame | None = None) -> DataFrame:
-    """pt_id, lat, lon, is_core, cluster_id of every point."""
-    edges = materialise(eps_edges(points, eps, metric).select("i", "j"), "edges") if edges is None else edges
+def _side(eps: float, metric: str) -> float:
+    """Side in degrees of cells whose points are all neighbours of each other."""
+    return (eps if metric == "euclidean" else eps / METRES_PER_DEGREE) / math.sqrt(2) * 0.99
+
+
+def _labelled(points: DataFrame, member: DataFrame, edges: DataFrame) -> DataFrame:
+    """member: pt_id, root of all core points; edges (i, j): at least those from points that are not core."""
+    numbered = number(member)
+    border = edges.join(numbered.select(F.col("pt_id").alias("j"), "cluster_id"), "j").groupBy(F.col("i").alias("pt_id")).agg(F.min("cluster_id").alias("near_id"))
+    out = points.select("pt_id", "lat", "lon").join(numbered, "pt_id", "left").join(border, "pt_id", "left")
+    return out.select("pt_id", "lat", "lon", F.col("cluster_id").isNotNull().alias("is_core"), F.coalesce("cluster_id", "near_id", F.lit(0)).cast("int").alias("cluster_id"))
+
+
+def from_edges(points: DataFrame, edges: DataFrame, eps: float, min_samples: int = 5, metric: str = "euclidean") -> DataFrame:
+    """``dbscan`` where all neighbour pairs (i, j) are there already."""
     degree = edges.groupBy(F.col("i").alias("pt_id")).agg(F.count("*").alias("n_neighbors"))
     core = degree.filter(F.col("n_neighbors") >= min_samples).select("pt_id")
-    side = (eps if metric == "euclidean" else eps / METRES_PER_DEGREE) / math.sqrt(2) * 0.99
+    side = _side(eps, metric)
     placed = points.select("pt_id", cell(F.col("lat"), side).alias("cx"), cell(F.col("lon"), side).alias("cy")).join(core, "pt_id")
-    # a cell's node is its least core point
-    core = materialise(placed.select("pt_id", F.min("pt_id").over(W.partitionBy("cx", "cy")).alias("node")), "core")
+    nodes = placed.groupBy("cx", "cy").agg(F.min("pt_id").alias("node"))  # a cell's node is its least core point
+    core = materialise(placed.join(nodes, ["cx", "cy"]).select("pt_id", "node"), "core")
     to_node = lambda side: core.select(F.col("pt_id").alias(side), F.col("node").alias(f"n{side}"))
     half = edges.filter("i < j").join(to_node("i"), "i").join(to_node("j"), "j").filter("ni <> nj").select(F.col("ni").alias("a"), F.col("nj").alias("b")).distinct()
-    roots = components(half)
+    roots = components(half, FEW_LINKS)
     member = core.join(roots, core.node == roots.node, "left").select("pt_id", F.coalesce("root", core.node).alias("root"))
-    member = materialise(member, "members")
-    numbered = number(member)
-    border = edges.join(numbered.select(F.col("pt_id").alias("j"), "cluster_id"), "j").groupBy(F.col("i").alias("pt_id")).agg(F.min("cluster_id").alias("near_id"))
-    out = points.select("pt_id", "lat", "lon").join(numbered, "pt_id", "left").join(border, "pt_id", "left")
-    return out.select("pt_id", "lat", "lon", F.col("cluster_id").isNotNull().alias("is_core"), F.coalesce("cluster_id", "near_id", F.lit(0)).cast("int").alias("cluster_id"))
+    return _labelled(points, materialise(member, "members"), edges)
+
+
+_TURNS = 16  # directions in which a cell's outermost core point is kept
+
+
+def dbscan(points: DataFrame, eps: float, min_samples: int = 5, metric: str = "euclidean") -> DataFrame:
+    """pt_id, lat, lon, is_core, cluster_id of every point.
+
+    Points in a cell of more than ``min_samples`` points are core without a count, so only
+    the points of thin cells are joined with their surroundings: that work grows with the
+    points, not with the square of their density. Two cells with core points are linked if
+    the points of each that lie outermost towards the other are neighbours; pairs that this
+    leaves open, and that are not in one component through others, are settled point by
+    point. The result is exact.
+    """
+    check_metric(metric)
+    side = _side(eps, metric)
+    reach_x = 2
+    reach_y = 2 if metric == "euclidean" else math.ceil(math.sqrt(2) / 0.99 / math.cos(math.radians(min(89.0, max_abs_lat(points, metric)))) * 1.01)
+    placed = points.select("pt_id", "lat", "lon", cell(F.col("lat"), side).alias("cx"), cell(F.col("lon"), side).alias("cy"))
+    dense = placed.groupBy("cx", "cy").agg(F.count("*").alias("n")).filter(F.col("n") > min_samples).select("cx", "cy", F.lit(True).alias("dense"))
+    placed = materialise(placed.join(dense, ["cx", "cy"], "left").withColumn("dense", F.coalesce("dense", F.lit(False))), "placed")
+    edges = materialise(eps_edges(placed, eps, metric, of=placed.filter("not dense")).select("i", "j"), "edges")
+    thin = edges.groupBy(F.col("i").alias("core_id")).agg(F.count("*").alias("n_neighbors")).filter(F.col("n_neighbors") >= min_samples).select("core_id")
+    core = placed.filter("dense").unionByName(placed.filter("not dense").join(thin, F.col("pt_id") == F.col("core_id"), "left_semi")).select("pt_id", "lat", "lon", "cx", "cy")
+    core = materialise(core, "core")
+    turns = [2 * math.pi * k / _TURNS for k in range(_TURNS)]
+    outer = F.array(*[F.max_by(F.struct("lat", "lon"), F.col("lat") * math.cos(t) + F.col("lon") * math.sin(t)) for t in turns])
+    cells = core.groupBy("cx", "cy").agg(F.min("pt_id").alias("node"), outer.alias("outer"), F.min("lat").alias("lat0"), F.max("lat").alias("lat1"), F.min("lon").alias("lon0"), F.max("lon").alias("lon1"))
+    cells = materialise(cells, "cells")
+    steps = [(i, j) for i in range(reach_x + 1) for j in range(-reach_y, reach_y + 1) if (i, j) > (0, 0)]
+    turn = lambda i, j: round(math.atan2(j, i) / (2 * math.pi) * _TURNS) % _TURNS
+    offset = F.explode(F.array(*[F.struct((F.col("cx") + i).alias("x"), (F.col("cy") + j).alias("y"), F.lit(turn(i, j) + 1).alias("to"), F.lit(turn(-i, -j) + 1).alias("fro")) for i, j in steps]))
+    a = cells.select(F.struct(*cells.columns).alias("a"), offset.alias("o")).select("a", F.col("o.x").alias("cx"), F.col("o.y").alias("cy"), "o.to", "o.fro")
+    b = cells.select(F.col("cx"), F.col("cy"), F.struct(*cells.columns).alias("b"))
+    p, q = F.element_at("a.outer", F.col("to")), F.element_at("b.outer", F.col("fro"))
+    gap = lambda c: F.greatest(F.lit(0.0), F.col(f"b.{c}0") - F.col(f"a.{c}1"), F.col(f"a.{c}0") - F.col(f"b.{c}1"))
+    if metric == "euclidean":
+        apart = gap("lat") * gap("lat") + gap("lon") * gap("lon") > eps * eps * (1 + 1e-9)
+    else:
+        apart = gap("lat") > eps / METRES_PER_DEGREE * (1 + 1e-9)
+    near = a.join(b, ["cx", "cy"]).filter(~apart).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), (distance(metric, p["lat"], p["lon"], q["lat"], q["lon"]) <= eps).alias("sure"))
+    near = materialise(near, "cell-pairs")
+    first = materialise(cells.select("node").join(components(near.filter("sure").select("a", "b"), FEW_LINKS).withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", F.coalesce("root", "node").alias("root")), "sure")
+    of = lambda c: first.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    open_ = near.filter("not sure").join(of("a"), "a").join(of("b"), "b").filter("ra <> rb")
+    at = core.join(cells.select("cx", "cy", "node"), ["cx", "cy"]).select("node", "lat", "lon")
+    ends = lambda c, k: at.select(F.col("node").alias(c), F.col("lat").alias(f"lat{k}"), F.col("lon").alias(f"lon{k}"))
+    met = open_.join(ends("a", 1), "a").join(ends("b", 2), "b").filter(distance(metric, F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")) <= eps)
+    second = components(met.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), FEW_LINKS)
+    roots = first.join(second.select(F.col("node").alias("n"), F.col("root").alias("whole")), F.col("root") == F.col("n"), "left").select("node", F.coalesce("whole", "root").alias("root"))
+    member = core.join(cells.select("cx", "cy", "node"), ["cx", "cy"]).join(roots, "node").select("pt_id", "root")
+    return _labelled(points, materialise(member, "members"), edges)
 
 
 def number(member: DataFrame) -> DataFrame:

@@ -18,17 +18,17 @@ from pyspark.sql import functions as F
 from ..functions.geo import METRES_PER_DEGREE, cell, check_metric, distance
 
 
-def cell_sizes(eps: float, metric: str, max_abs_lat: float = 0.0) -> tuple[float, float]:
+def cell_sizes(eps: float, metric: str, widest_lat: float = 0.0) -> tuple[float, float]:
     """Sides in degrees of cells whose 3x3 block holds every neighbour within eps."""
     check_metric(metric)
     if metric == "euclidean":
         return eps * (1 + 1e-9), eps * (1 + 1e-9)
     lat = eps / METRES_PER_DEGREE * 1.01
-    widest = min(89.0, max_abs_lat + lat)
+    widest = min(89.0, widest_lat + lat)
     return lat, lat / math.cos(math.radians(widest)) * 1.01
 
 
-def _bounds(points: DataFrame, metric: str) -> float:
+def max_abs_lat(points: DataFrame, metric: str) -> float:
     if metric == "euclidean":
         return 0.0
     return float(points.agg(F.max(F.abs("lat"))).first()[0] or 0.0)
@@ -39,11 +39,12 @@ def _around(cells: list[Column], reach: int = 1) -> Column:
     return F.explode(F.array(*[F.struct((cells[0] + i).alias("cx"), (cells[1] + j).alias("cy")) for i in steps for j in steps]))
 
 
-def eps_edges(points: DataFrame, eps: float, metric: str = "euclidean") -> DataFrame:
-    """Directed neighbour pairs (i, j, dist): i <> j, distance at most eps (inclusive)."""
-    a, b = cell_sizes(eps, metric, _bounds(points, metric))
-    keyed = points.select("pt_id", "lat", "lon", cell(F.col("lat"), a).alias("cx"), cell(F.col("lon"), b).alias("cy"))
-    left = keyed.select(F.col("pt_id").alias("i"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), _around([F.col("cx"), F.col("cy")]).alias("c"))
+def eps_edges(points: DataFrame, eps: float, metric: str = "euclidean", of: DataFrame | None = None) -> DataFrame:
+    """Directed neighbour pairs (i, j, dist): i <> j, distance at most eps (inclusive). ``of``: only these points as i."""
+    a, b = cell_sizes(eps, metric, max_abs_lat(points, metric))
+    place = lambda p: p.select("pt_id", "lat", "lon", cell(F.col("lat"), a).alias("cx"), cell(F.col("lon"), b).alias("cy"))
+    keyed = place(points)
+    left = place(points if of is None else of).select(F.col("pt_id").alias("i"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), _around([F.col("cx"), F.col("cy")]).alias("c"))
     left = left.select("i", "lat1", "lon1", F.col("c.cx").alias("cx"), F.col("c.cy").alias("cy"))
     right = keyed.select(F.col("pt_id").alias("j"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "cx", "cy")
     d = distance(metric, F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..work import materialise
-from .dbscan import cluster_stats, dbscan
+from .dbscan import cluster_stats, dbscan, from_edges
 from .neighbors import eps_edges
 
 
@@ -19,7 +19,7 @@ def param_grid(points: DataFrame, eps_range: list[float], min_samples_range: lis
         for eps in eps_range:
             near = edges.filter(F.col("dist") <= eps).select("i", "j")
             for least in min_samples_range:
-                s = cluster_stats(dbscan(points, eps, least, metric, near)).first()
+                s = cluster_stats(from_edges(points, near, eps, least, metric)).first()
                 rows.append((float(eps), int(least), int(s["n_clusters"]), int(s["n_noise"]), int(s["n_core_points"]), len(rows)))
     return spark.createDataFrame(rows, "eps double, min_samples int, n_clusters long, n_noise long, n_core_points long, position int")
 
