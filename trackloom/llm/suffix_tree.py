@@ -101,54 +101,60 @@ def count_windows(texts: DataFrame, depth: int, most: int = 4_000_000) -> DataFr
 class Tree:
     """States with their next-symbol log10 probabilities, and the way from a state to longer ones."""
 
-    def __init__(self, entries: pd.DataFrame, depth: int, least_divergence: float):
-        """entries: k (context length), ctx (nearest symbol in the low byte), sym, n; all contexts' suffixes are there."""
+    def __init__(self, k: np.ndarray, ctx: np.ndarray, sym: np.ndarray, n: np.ndarray, depth: int, least_divergence: float, block: int = 4096):
+        """Entries by context length k, context (nearest symbol in the low byte) and next symbol; suffixes of contexts are there.
+
+        Distributions are worked out ``block`` contexts at a time; those of the longest
+        contexts are kept only if retained.
+        """
         self.depth = depth
         seen = np.zeros(256, bool)
-        seen[entries.sym[entries.k == 0].to_numpy()] = True
+        seen[sym[k == 0]] = True
         seen[[ord(" "), END[0]]] = True
         self.place = np.full(256, int(seen.sum()), np.int64)  # unseen symbols share the last column
         self.place[seen] = np.arange(int(seen.sum()))
         width = int(seen.sum()) + 1
         unseen = max(1, 256 - width + 1)
-        uniform = np.full(width, 1 / 256)
-        uniform[-1] = unseen / 256
-        tables, codes, parents = [], [], []
-        for k in range(depth + 1):
-            e = entries[entries.k == k]
-            ctx, at = np.unique(e.ctx.to_numpy(np.int64), return_inverse=True)
-            n = np.zeros((max(1, ctx.size) if k == 0 else ctx.size, width))
-            if ctx.size:
-                np.add.at(n, (at, self.place[e.sym.to_numpy()]), e.n.to_numpy(np.float64))
-            elif k == 0:
-                ctx = np.zeros(1, np.int64)
-            if k:
-                parent = np.searchsorted(codes[-1], ctx & ((1 << 8 * (k - 1)) - 1))
-                below = tables[-1][parent]
-            else:
-                parent, below = np.zeros(1, np.int64), uniform[None, :]
-            kinds = (n > 0).sum(axis=1, keepdims=True) + 1
-            p = (n + kinds * below) / (n.sum(axis=1, keepdims=True) + kinds)
-            if k:
-                self_p = n / np.maximum(1, n.sum(axis=1, keepdims=True))
+        uniform = np.full((1, width), 1 / 256, np.float32)
+        uniform[0, -1] = unseen / 256
+        tables, codes, parents, keep = [], [], [], []
+        for length in range(depth + 1):
+            pick = np.flatnonzero(k == length)
+            pick = pick[np.lexsort((sym[pick], ctx[pick]))]
+            c, col, count = ctx[pick], self.place[sym[pick]], n[pick].astype(np.float32)
+            first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if c.size else np.zeros(0, np.int64)
+            own = c[first] if length else np.zeros(1, np.int64)
+            bounds = np.append(first, c.size) if first.size else np.zeros(own.size + 1, np.int64)
+            parent = np.searchsorted(codes[-1], own & ((1 << 8 * (length - 1)) - 1)) if length else np.zeros(1, np.int64)
+            told, rows = np.zeros(own.size, bool), []
+            for a in range(0, own.size, block):
+                b = min(own.size, a + block)
+                part = slice(bounds[a], bounds[b])
+                seen_n = np.zeros((b - a, width), np.float32)
+                seen_n[np.repeat(np.arange(b - a), np.diff(bounds[a : b + 1])), col[part]] = count[part]
+                below = tables[-1][parent[a:b]] if length else uniform
+                total = seen_n.sum(axis=1, keepdims=True)
+                kinds = (seen_n > 0).sum(axis=1, keepdims=True) + 1
+                p = (seen_n + kinds * below) / (total + kinds)
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    gap = np.where(n > 0, self_p * np.log(self_p / below), 0).sum(axis=1)
-            else:
-                gap = np.full(1, np.inf)
-            tables.append(p)
-            codes.append(ctx)
-            parents.append((parent, gap >= least_divergence))
-        keep = [p[1].copy() for p in parents]
-        for k in range(depth, 0, -1):  # suffixes of retained contexts stay
-            keep[k - 1][parents[k][0][keep[k]]] = True
+                    freq = seen_n / np.maximum(1, total)
+                    gap = np.where(seen_n > 0, freq * np.log(freq / below), 0).sum(axis=1)
+                told[a:b] = (gap >= least_divergence) | (length == 0)
+                rows.append((p if length < depth else p[told[a:b]]).astype(np.float32))
+            tables.append(np.concatenate(rows) if rows else np.zeros((0, width), np.float32))
+            codes.append(own)
+            parents.append(parent)
+            keep.append(told)
+        for length in range(depth, 0, -1):  # suffixes of retained contexts stay
+            keep[length - 1][parents[length][keep[length]]] = True
         number = [np.cumsum(x) - 1 for x in keep]
         base = np.concatenate([[0], np.cumsum([int(x.sum()) for x in keep])])
-        self.logp = np.log10(np.concatenate([t[x] for t, x in zip(tables, keep, strict=True)])).astype(np.float32)
+        self.logp = np.log10(np.concatenate([*(t[x] for t, x in zip(tables[:-1], keep[:-1], strict=True)), tables[-1]] if depth else tables))
         self.logp[:, -1] -= np.float32(np.log10(unseen))
         self.longer = np.full((int(base[-1]), width), -1, np.int32)
-        for k in range(1, depth + 1):
-            x = keep[k]
-            self.longer[base[k - 1] + number[k - 1][parents[k][0][x]], self.place[(codes[k][x] >> 8 * (k - 1)) & 255]] = base[k] + number[k][x]
+        for length in range(1, depth + 1):
+            x = keep[length]
+            self.longer[base[length - 1] + number[length - 1][parents[length][x]], self.place[(codes[length][x] >> 8 * (length - 1)) & 255]] = base[length] + number[length][x]
 
     def score(self, symbols: np.ndarray, live: np.ndarray, step: int = 1 << 18) -> np.ndarray:
         """log10 probability of each live symbol given those before it."""
@@ -176,8 +182,8 @@ def grow(texts: DataFrame, *, depth: int = 5, least_share: float = 2e-6, least_c
     each = full.select("code", "n", masks.alias("x")).groupBy(F.col("x.k").alias("k"), F.shiftright("code", 8).bitwiseAND(F.col("x.m")).alias("ctx"), F.col("code").bitwiseAND(F.lit(255)).alias("sym")).agg(F.sum("n").alias("n"))
     each = materialise(each, "contexts")
     often = each.groupBy("k", "ctx").agg(F.sum("n").alias("all")).filter((F.col("all") >= floor) | (F.col("k") == 0)).select("k", "ctx")
-    entries = each.join(often, ["k", "ctx"]).select("k", "ctx", "sym", "n").toPandas()
-    return Tree(entries.sort_values(["k", "ctx", "sym"]), depth, least_divergence)
+    entries = each.join(often, ["k", "ctx"]).select("k", "ctx", "sym", "n").toArrow()  # bounded by least_share
+    return Tree(*(entries.column(c).to_numpy() for c in ("k", "ctx", "sym", "n")), depth, least_divergence)
 
 
 def score(docs: DataFrame, train: Column, *, depth: int = 5, least_share: float = 2e-6, least_divergence: float = 0.005, chunk_docs: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
