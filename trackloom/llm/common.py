@@ -1,62 +1,13 @@
-"""Shared plumbing: the shared work folder, written intermediates, column projection."""
+"""Shared plumbing of the corpus operators: column projection, written intermediates."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..work import discard, fresh_path, materialise, release_shuffles, work_dir
 
-def work_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only where the setting is absent (tests, a laptop) a temporary folder is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = tempfile.mkdtemp(prefix="trackloom-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{work_dir(spark)}/trackloom/{tag}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, tag)
-    df.write.option("compression", compression).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.trackloom_path = path
-    return out
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a written intermediate that no live plan reads any more."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's context cleaner drop shuffle files of finished plans.
-
-    The cleaner acts when the driver's JVM collects the plans that own the files.
-    """
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
-
-
-def text_of(column: str) -> Column:
-    return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
+__all__ = ["crc_of_id", "discard", "fresh_path", "materialise", "project", "release_shuffles", "work_dir"]
 
 
 def project(df: DataFrame, **columns: str) -> DataFrame:
