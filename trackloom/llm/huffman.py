@@ -200,9 +200,10 @@ def write(docs: DataFrame, tokenizer: str, *, path: str | None = None, end_id: i
         used = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(found[used], pa.int64())], names=["token", "n"])
 
-    counted = tokens.select("n", "ids").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(int(counted.token.max()) + 1 if len(counted) else 1, np.int64)
-    counts[counted.token.to_numpy()] = counted.n.to_numpy()
+    counted = tokens.select("n", "ids").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
+    token, n = (counted.column(c).to_numpy() for c in ("token", "n"))
+    counts = np.zeros(int(token.max(initial=0)) + 1, np.int64)
+    counts[token] = n
     lengths = code_lengths(counts, most_bits)
     shared = spark.sparkContext.broadcast((lengths, first))
 
@@ -236,9 +237,10 @@ def write(docs: DataFrame, tokenizer: str, *, path: str | None = None, end_id: i
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Documents of the blocks under ``path``: doc_id, start (ids before it), ids (uint32, little-endian)."""
-    rows = spark.read.parquet(f"{path}/codebook").toPandas()  # at most the vocabulary
-    lengths = np.zeros(int(rows.token.max()) + 1 if len(rows) else 1, np.uint8)
-    lengths[rows.token.to_numpy()] = rows.bits.to_numpy()
+    rows = spark.read.parquet(f"{path}/codebook").toArrow()  # at most the vocabulary
+    token, bits = (rows.column(c).to_numpy() for c in ("token", "bits"))
+    lengths = np.zeros(int(token.max(initial=0)) + 1, np.uint8)
+    lengths[token] = bits
     shared = spark.sparkContext.broadcast(lengths)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
