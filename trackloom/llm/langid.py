@@ -182,13 +182,14 @@ def train(labelled: DataFrame, *, per_lang: int = 300, cuts: int = 4, window: in
     None if there is no labelled row with text.
     """
     rows = project(labelled, doc_id=id_col, text=text_col, lang=lang_col).filter("lang is not null and length(text) > 0")
-    langs = sorted(r["lang"] for r in rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(most_langs).collect())
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(most_langs).collect()}
+    langs = sorted(counts)
     if not langs:
         return None
     deal = F.xxhash64("doc_id", "text")
-    # first a bounded number from each of 64 deals of each language, then the least of those
-    near = W.partitionBy("lang", F.pmod(deal, F.lit(64))).orderBy(deal)
-    some = rows.select("doc_id", "lang", deal.alias("deal"), F.row_number().over(near).alias("k")).filter(F.col("k") <= per_lang)
+    # a share of each language that holds about four times what is wanted, then the least hashes of that
+    share = F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, 4 * per_lang / counts[k]))]), F.col("lang"))
+    some = rows.select("lang", deal.alias("deal")).filter(F.pmod("deal", F.lit(1 << 31)) < share * (1 << 31)).distinct()
     top = some.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("deal"))).filter(F.col("rank") <= per_lang)
     chosen = {(r["lang"], r["deal"]) for r in top.select("lang", "deal").collect()}
     wanted = sorted({d for _, d in chosen})
