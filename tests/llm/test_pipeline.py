@@ -15,7 +15,7 @@ def test_stages(spark, sf_docs, sf_rows):
     text = {r["doc_id"]: r["text"] for r in sf_rows}
     first = rows["language"]
     assert {r["doc_id"] for r in first} >= {i for i, t in text.items() if t and len(t) > 100 and sum(c.isalpha() for c in t) > 0.6 * len(t)}
-    classes = {c for (_, _, c) in near_copies([(r["doc_id"], r["text"]) for r in first])}
+    classes = {c for (_, _, c) in near_copies([(r["doc_id"], r["text"]) for r in first], corpus_pipeline.COPY_BITS)}
     assert sorted(r["doc_id"] for r in rows["near_duplicates"]) == sorted(classes)
     assert {r["doc_id"] for r in rows["personal_data"]} == classes
     for r in rows["personal_data"]:

@@ -14,7 +14,7 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if hashes else 0
 
 
-def brute(rows):
+def brute(rows, bits=2):
     fps = [fingerprint(t) for _, t in rows]
     root = list(range(len(rows)))
 
@@ -25,7 +25,7 @@ def brute(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 2:
+            if (fps[i] ^ fps[j]).bit_count() <= bits:
                 root[find(i)] = find(j)
     least = {}
     for i, (doc, _) in enumerate(rows):

@@ -111,11 +111,12 @@ def _rows(done: list[tuple[int, list]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
 
-def pack(docs: DataFrame, tokenizer: str, *, window: int = 2048, end_id: int = 1, most_open: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, window: int = 2048, end_id: int = 1, most_open: int = 4096, keep_memo: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of all documents in their windows: one row a piece, ``ids`` as little-endian uint32.
 
     ``most_open`` bounds the ids a task holds (most_open windows at most); it only decides
-    when open windows are cut together.
+    when open windows are cut together. ``keep_memo`` leaves a worker's remembered pieces to its
+    next task; without it their memory is free for other work after each task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,5 +131,7 @@ def pack(docs: DataFrame, tokenizer: str, *, window: int = 2048, end_id: int = 1
                 yield _rows(packer.take())
         packer.drain()
         yield _rows(packer.take())
+        if not keep_memo:
+            enc.memo.clear()
 
     return project(docs, doc_id=id_col, text=text_col).mapInArrow(run, SCHEMA)

@@ -30,7 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, project
+from ..operators.graph import components
+from .common import materialise, project
 
 
 def fingerprints_of(texts: list[str], shingle: int = 3, seed: int = 42) -> np.ndarray:
@@ -93,10 +94,16 @@ def spanning_links(members: np.ndarray, bits: int) -> list[tuple[int, int]]:
     flips = sum(1 for k in range(1, bits + 1) for _ in itertools.combinations(places, k)) if n > 64 else 0
     label = np.arange(n)
     if n <= 64 or n <= 2 * flips:
-        pairs = []
-        for i in range(n - 1):
-            near = np.flatnonzero(np.bitwise_count(members[i + 1 :] ^ members[i]) <= bits)
-            pairs += [(np.full(near.size, i), near + i + 1)]
+        # from each class's least member outwards, against those not reached yet: memory for n, not for pairs
+        left = np.arange(n)
+        while left.size:
+            head, left = left[0], left[1:]
+            todo = [head]
+            while todo and left.size:
+                near = np.bitwise_count(members[left] ^ members[todo.pop()]) <= bits
+                label[left[near]] = head
+                todo += left[near].tolist()
+                left = left[~near]
     else:
         pairs = []
         for k in range(1, bits + 1):
@@ -105,15 +112,15 @@ def spanning_links(members: np.ndarray, bits: int) -> list[tuple[int, int]]:
                 at = np.minimum(np.searchsorted(members, flipped), n - 1)
                 near = np.flatnonzero((members[at] == flipped) & (at > np.arange(n)))
                 pairs += [(near, at[near])]
-    a, b = (np.concatenate([p[k] for p in pairs]) if pairs else np.zeros(0, int) for k in (0, 1))
-    while a.size:  # least label over links, with jumps
-        low = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, label[a], low)
-        np.minimum.at(label, label[b], low)
-        label = label[label]
-        if (label == before).all():
-            break
+        a, b = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+        while a.size:  # least label over links, with jumps
+            low = np.minimum(label[a], label[b])
+            before = label.copy()
+            np.minimum.at(label, label[a], low)
+            np.minimum.at(label, label[b], low)
+            label = label[label]
+            if (label == before).all():
+                break
     moved = np.flatnonzero(label != np.arange(n))
     signed = members.view(np.int64)
     return list(zip(signed[moved].tolist(), signed[label[moved]].tolist(), strict=True))
@@ -137,23 +144,6 @@ def links(distinct: DataFrame, bits: int = 2) -> DataFrame:
     return lists.mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root: the least node of each node's component; nodes without links have no row."""
-    now = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    while True:
-        both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("x"), F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, F.col("a") == F.col("x")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("x"), "m")
-        small = large.join(low, F.col("a") == F.col("x")).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
-        then = materialise(small, "links")
-        old, new = (x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() for x in (now, then))
-        discard(edges.sparkSession, now.trackloom_path)
-        if old == new:
-            return then.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        now = then
-
-
 def _classes(fps: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
     """(fp, least id, root) of the distinct fingerprints, and (root, component_id)."""
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
