@@ -72,3 +72,27 @@ def test_odd_rows(spark, odd, none):
     assert suffix_tree.score(none, ~suffix_tree.held_out()).count() == 0
     untrained = suffix_tree.score(odd, F.lit(False)).filter("doc_id = 4").first()
     assert abs(untrained["score"] - 2 * math.log10(1 / 256)) < 1e-3 and untrained["base_score"] == 0.0
+
+
+def logs_of(tree, text, depth):
+    symbols, first = suffix_tree._stream([suffix_tree.words_of(text)], depth)
+    return tree.logs(suffix_tree.windows(symbols, suffix_tree._scored(first, symbols.size, depth), depth))
+
+
+def test_long_contexts_in_shards(spark):
+    texts = ["abracadabra abra", "ABRACA dabra cad abracadabra", "the cat the hat é中é中 the cat", None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for shard, keep in ((10**6, 4), (1, 100), (1, 0)):
+        tree = suffix_tree.grow(df, depth=7, least_divergence=0.05, shard=shard)
+        tree.keep = keep
+        assert (len(tree.shards) > 1) == (shard == 1)
+        for t in [*texts, "abracadabra the zebra é中"]:
+            assert abs(logs_of(tree, t, 7).sum() - brute_score(texts, t, 7, 4, 0.05)) < 1e-6, (shard, t)
+
+
+def test_a_rare_context_counts_however_large_the_corpus(spark):
+    common = spark.range(1000).select(F.repeat(F.lit("a b "), 700).alias("text"))  # 2.8 million symbols
+    rare = spark.createDataFrame([("wqzjxk",)] * 4, "text string")
+    tree = suffix_tree.grow(common.union(rare), depth=5)
+    assert logs_of(tree, "wqzjxk", 5)[-2] > -0.5  # k after wqzjx, seen four times of four
+    assert tree.states > suffix_tree.grow(common, depth=5).states
