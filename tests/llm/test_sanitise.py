@@ -102,3 +102,13 @@ def test_sanitised_text(spark, odd, none):
 def test_overlapping_spans():
     span = lambda k, s, e, a="replace": {"kind": k, "start": s, "end": e, "action": a}
     assert sanitise.rewrite("0123456789", [span("ip", 2, 5), span("card", 4, 7), span("term", 8, 9, "remove")]) == "01<IP>79"
+
+
+def test_an_entity_of_one_or_two_documents_has_terms(spark):
+    rows = [(i, f"the plan number{i % 20} is about nothing, write to the office at noon") for i in range(400)]
+    rows += [(1000, "write to Grzegorz Brzeczyk at brzeczyk@corp.example.com about the plan")]
+    rows += [(1001, "the plan of Oyelaran: call +49 30 1234567 at noon"), (1002, "write to Oyelaran or call +49 30 1234567 about nothing")]
+    out = {r["doc_id"]: r["text"] for r in sanitise.sanitised(spark.createDataFrame(rows, "doc_id long, text string"), keep=[]).collect()}
+    assert "Grzegorz" not in out[1000] and "Brzeczyk" not in out[1000] and " about the plan" in out[1000]
+    assert "Oyelaran" not in out[1001] + out[1002] and out[1002].startswith("write to ")
+    assert all(out[i] == t for i, t in rows[:400])

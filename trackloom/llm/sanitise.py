@@ -6,9 +6,11 @@ of letters or digits, lower-cased) within ``reach`` words of it, the corpus give
 pointwise mutual information log(p(t, e) / (p(t) p(e))) over documents, against the
 entity's own information -log p(e). The share of it that t gives away decides: at or above
 ``remove_at`` t is removed, at or above ``generalise_at`` replaced by a general mark,
-wherever it stands near e (Sanchez and Batet's C-sanitisation). A share is believed only
-if t and e meet in at least ``least_support`` documents and in two contexts that differ,
-so that the words of a copied text are not taken for disclosures.
+wherever it stands near e (Sanchez and Batet's C-sanitisation). Meetings whose contexts
+are all alike count as one, as copied text tells no more than one copy. Where t and e meet
+in fewer than ``least_support`` documents, p(e | t) is drawn towards p(e) as if t stood in
+``prior`` more documents, so few meetings disclose less but entities of any number of
+documents have their terms.
 
 Document frequencies are counted over all documents, for terms whose checksum falls in a
 bucket of some candidate; the bucket table has a fixed size and only saves work.
@@ -121,7 +123,7 @@ _NEAR = pa.struct([("e", pa.string()), ("t", pa.string()), ("ctx", pa.int64()),
 _SCAN = "rid long, base array<struct<kind:string,start:long,end:long>>, entities array<string>, near array<struct<e:string,t:string,ctx:long,places:array<struct<start:long,end:long>>>>"
 
 
-def find(docs: DataFrame, *, reach: int = 8, least_support: int = 3, generalise_at: float = 0.6, remove_at: float = 0.9, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, with_text: bool = False) -> DataFrame:
+def find(docs: DataFrame, *, reach: int = 8, least_support: int = 3, prior: float = 2.0, generalise_at: float = 0.6, remove_at: float = 0.9, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, with_text: bool = False) -> DataFrame:
     """doc_id, base and spans (arrays of kind, start, end; term spans have an ``action``), and what is kept."""
     spark = docs.sparkSession
     keep = keep or []
@@ -150,9 +152,10 @@ def find(docs: DataFrame, *, reach: int = 8, least_support: int = 3, generalise_
     scanned = materialise(rows.mapInArrow(scan, schema), "scanned")
     again = lambda: spark.read.schema(scanned.schema).parquet(scanned.trackloom_path)
     total = scanned.count()
-    often = scanned.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= least_support)
-    met = scanned.select(F.explode("near").alias("x")).select("x.e", "x.t", "x.ctx").groupBy("e", "t").agg(F.count("*").alias("n"), F.min("ctx").alias("c1"), F.max("ctx").alias("c2")).filter((F.col("n") >= least_support) & (F.col("c1") != F.col("c2")))
-    pairs = materialise(met.join(often, "e").select("e", "t", "n", "n_e"), "pairs")
+    often = scanned.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
+    met = scanned.select(F.explode("near").alias("x")).select("x.e", "x.t", "x.ctx").groupBy("e", "t").agg(F.count("*").alias("n"), F.min("ctx").alias("c1"), F.max("ctx").alias("c2"))
+    met = met.select("e", "t", "n", F.when(F.col("c1") == F.col("c2"), 1).otherwise(F.col("n")).alias("m"))
+    pairs = materialise(met.join(often, "e").select("e", "t", "n", "m", "n_e"), "pairs")
     used = [r[0] for r in pairs.select((F.crc32(F.col("t").cast("binary")) % BUCKETS).cast("int").alias("b")).distinct().collect()]  # at most BUCKETS
     table = np.zeros(BUCKETS, bool)
     table[used] = True
@@ -185,7 +188,9 @@ def find(docs: DataFrame, *, reach: int = 8, least_support: int = 3, generalise_
     else:
         df = spark.createDataFrame([], "t string, df long")
     seen = F.greatest(F.coalesce("df", "n"), F.col("n"))
-    given = F.log(F.col("n") * F.lit(float(total)) / (seen * F.col("n_e"))) / F.log(F.lit(float(total)) / F.col("n_e"))
+    drawn = F.when(F.col("m") < least_support, F.lit(float(prior))).otherwise(0.0)
+    chance = F.col("n_e") / F.lit(float(total))
+    given = F.log((F.col("m") + drawn * chance) / (seen + drawn) / chance) / -F.log(chance)
     told = pairs.filter(F.col("n_e") < total).join(df, "t", "left").withColumn("share", given).filter(F.col("share") >= generalise_at)
     told = materialise(told.select("e", "t", F.when(F.col("share") >= remove_at, "remove").otherwise("generalise").alias("action")), "told")
     near = again().select("rid", F.explode("near").alias("x")).select("rid", "x.e", "x.t", "x.places")
