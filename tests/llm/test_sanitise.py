@@ -112,3 +112,20 @@ def test_an_entity_of_one_or_two_documents_has_terms(spark):
     assert "Grzegorz" not in out[1000] and "Brzeczyk" not in out[1000] and " about the plan" in out[1000]
     assert "Oyelaran" not in out[1001] + out[1002] and out[1002].startswith("write to ")
     assert all(out[i] == t for i, t in rows[:400])
+
+
+def test_near_terms_equal_a_brute_force():
+    rnd = random.Random(8)
+    bits = ["Li", "Wu", "李", "王伟", "42", "7", "agent", "x", "_", ",", ".", "\t", "\n", " " * 9, "smith@corp.example.com", "10.0.0.1", "+49 30 1234567", "4111 1111 1111 1111", "z" * 700]
+    for _ in range(600):
+        text = "".join(rnd.choice(bits) + rnd.choice([" ", "  ", "\n", " "]) for _ in range(rnd.randint(1, 60)))
+        spans = sanitise.base_spans(text)
+        taken = {i for _, s, e, _ in spans for i in range(s, e)}
+        words = [m for m in re.finditer(r"[^\W_]+", text) if not taken & set(range(*m.span()))]
+        want = {}
+        for kind, s, e, value in spans:
+            for m in [m for m in words if m.end() <= s][-8:] + [m for m in words if m.start() >= e][:8]:
+                want.setdefault((f"{kind}:{value}", m.group().lower()), set()).add(m.span())
+        assert {(e, t): set(p) for e, t, _, p in sanitise.near_terms(text, spans, 8)} == want
+    name = "Li" + " " * 12 + "smith@corp.example.com"
+    assert [t for _, t, _, _ in sanitise.near_terms(name, sanitise.base_spans(name), 8)] == ["li"]

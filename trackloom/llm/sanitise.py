@@ -2,7 +2,7 @@
 
 Base spans are e-mail addresses, IPv4 addresses, card and phone numbers by pattern and
 check. Their values are the protected entities. For each entity e and each term t (a run
-of letters or digits, lower-cased) within ``reach`` words of it, the corpus gives the
+of letters or digits, lower-cased, of any length) among the nearest ``reach`` on each side, the corpus gives the
 pointwise mutual information log(p(t, e) / (p(t) p(e))) over documents, against the
 entity's own information -log p(e). The share of it that t gives away decides: at or above
 ``remove_at`` t is removed, at or above ``generalise_at`` replaced by a general mark,
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -88,28 +89,24 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
 
 
 def near_terms(text: str, spans: list[tuple[str, int, int, str]], reach: int) -> list[tuple[str, str, int, list[tuple[int, int]]]]:
-    """(entity, term, context hash, places) for the words on either side of each span."""
-    taken = sorted((s, e) for _, s, e, _ in spans)
+    """(entity, term, context hash, places) for the nearest ``reach`` words outside all spans on either side of each span."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, e in sorted((s, e) for _, s, e, _ in spans):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    free = []
+    for m in _WORD.finditer(text):
+        k = bisect_left(starts, m.end()) - 1
+        if k < 0 or ends[k] <= m.start():
+            free.append((m.group().lower(), *m.span()))
+    begins = [a for _, a, _ in free]
     found: dict[tuple[str, str], tuple[int, list]] = {}
     for kind, start, end, value in spans:
-        words = []
-        left, n = start, 0
-        while left > 0 and n < reach:  # word by word to the left, by blanks
-            left = max(text.rfind(" ", 0, left), text.rfind("\n", 0, left), 0)
-            n += 1
-            if start - left > 64 * reach:
-                break
-        right, n = end, 0
-        while 0 <= right < len(text) and n <= reach:
-            ends = [p for p in (text.find(" ", right + 1), text.find("\n", right + 1)) if p >= 0]
-            right = min(ends) if ends else len(text)
-            n += 1
-            if right - end > 64 * reach:
-                break
-        for m in _WORD.finditer(text, left, right):
-            a, b = m.span()
-            if len(m.group()) > 2 and not any(s < b and a < e for s, e in taken):
-                words.append((m.group().lower(), a, b))
+        words = free[max(0, (k := bisect_left(begins, start)) - reach) : k] + free[(k := bisect_left(begins, end)) : k + reach]
         context = zlib.crc32(" ".join(w for w, _, _ in words).encode())
         for w, a, b in words:
             entry = found.setdefault((f"{kind}:{value}", w), (context, []))
