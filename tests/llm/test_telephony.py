@@ -69,3 +69,22 @@ def test_odd_rows_and_codecs(odd, none):
     same = [r["features"] for r in telephony.decode(telephony.store(odd)).collect() if r["doc_id"] == 5]
     assert len(same) == 2 and len(set(same)) == 1
     assert telephony.decode(telephony.store(none)).count() == 0
+
+
+def test_resampled_pcm_is_stored(spark, sf_rows):
+    from pathlib import Path
+
+    from trackloom.work import work_dir
+
+    top = Path(work_dir(spark).removeprefix("file://")) / "trackloom"
+    before = set(top.glob("pcm-*"))
+    got = {r["doc_id"]: r["feature"] for r in queries.op9_telephony(spark, "/root/testdata/sf0.001").collect()}
+    (path,) = set(top.glob("pcm-*")) - before
+    stored = {r["doc_id"]: r["pcm"] for r in spark.read.parquet(str(path)).collect()}
+    assert stored.keys() == got.keys() == {r["doc_id"] for r in sf_rows}
+    for r in sf_rows:
+        raw = (r["text"] or "").encode()
+        raw += b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
+        want = telephony.resample(telephony.MULAW[np.frombuffer(raw, np.uint8)], 8000, 16000).astype("<i2").tobytes()
+        assert bytes(stored[r["doc_id"]]) == want
+        assert got[r["doc_id"]].endswith(f";pcm={zlib.crc32(want):08x}")

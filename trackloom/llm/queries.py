@@ -96,7 +96,7 @@ def op8_rake_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = telephony.decode(telephony.store(_table(spark, sf_dir, "documents")))
-    return out.select(
+    facts = out.select(
         "doc_id",
         "n_bytes",
         F.octet_length("payload").cast("long").alias("payload_bytes"),
@@ -104,8 +104,11 @@ def op9_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"),
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
-        F.concat("features", F.lit(";pcm="), F.lower(F.lpad(F.hex(F.crc32("pcm")), 8, "0"))).alias("feature"),
+        "features",
+        "pcm",
     )
+    stored = telephony.store_pcm(facts)
+    return stored.select(*facts.columns[:7], F.concat("features", F.lit(";pcm="), F.lower(F.lpad(F.hex(F.crc32("pcm")), 8, "0"))).alias("feature"))
 
 
 def op10_simhash_byte_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -178,3 +178,8 @@ def decode(media: DataFrame, *, to: int = 16000, unit: int = 576, most_bytes: in
                 yield digest(ids, files)
 
     return media.select("doc_id", "media").mapInArrow(run, "doc_id long, media binary, payload binary, n_bytes long, pcm binary, features string")
+
+
+def store_pcm(decoded: DataFrame) -> DataFrame:
+    """The rows of ``decode`` (or some of its columns with pcm) as a written table, read back."""
+    return materialise(decoded, "pcm")
