@@ -1,9 +1,14 @@
 """Telephony audio columns: G.711 by look-up tables, IMA ADPCM by blocks, resampled PCM.
 
-``store`` writes each row's bytes as 8-bit samples in a RIFF file, kept as a binary column
-of a written table. ``decode`` reads the files back: mu-law and A-law samples expand
-through 256-entry tables, ADPCM runs nibble by nibble over all blocks of a batch at once.
-All arithmetic is on integers, so equal bytes give equal values wherever they are decoded.
+``store`` writes each row's bytes as the data of a RIFF file, kept as a binary column of a
+written table: mu-law or A-law samples, or ADPCM blocks, as a checksum of the bytes deals
+them (or all in one codec). ``decode`` reads the files back: mu-law and A-law samples expand
+through 256-entry tables, ADPCM runs nibble by nibble over all blocks of a batch at once;
+the signal is resampled. ``store_pcm`` writes that PCM as a column of its own and
+``read_pcm`` reads it back. In that column samples stand as a lossless lifting step (as in
+reversible wavelets): those at even places, then by how much each odd one misses the mean
+of its neighbours. All arithmetic is on integers, so equal bytes give equal values wherever
+they are decoded.
 
 Bytes are padded with 255 to a positive multiple of ``unit``; 255 is no UTF-8 byte, so the
 unpadded length is read back from the samples. Nulls: null text is the empty text (one
@@ -14,6 +19,7 @@ no rows. Other columns are not read.
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +28,8 @@ from pyspark.sql import DataFrame
 
 from .common import materialise, project
 
+#: Compression level of the written tables.
+ZSTD_LEVEL = 9
 TAGS = {"pcm": 1, "alaw": 6, "mulaw": 7, "adpcm": 17}
 # Fixed values of the IMA ADPCM standard.
 STEPS = np.array(
@@ -86,6 +94,23 @@ def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
     return (x[i] + (after - x[i]) * part // to).astype(np.int16)
 
 
+def lift(pcm: np.ndarray) -> bytes:
+    """16-bit samples as a lifting step: even places, then the odd ones less the mean of their neighbours."""
+    even, odd = pcm[::2].astype(np.int32), pcm[1::2].astype(np.int32)
+    after = np.append(even[1:], even[-1:])[: odd.size]
+    return even.astype("<i2").tobytes() + (odd - (even[: odd.size] + after >> 1)).astype("<i2").tobytes()
+
+
+def unlift(raw: bytes) -> np.ndarray:
+    """The samples of ``lift``."""
+    both = np.frombuffer(raw, "<i2")
+    even, miss = both[: (both.size + 1) // 2].astype(np.int32), both[(both.size + 1) // 2 :]
+    out = np.empty(both.size, np.int16)
+    out[::2] = even
+    out[1::2] = (miss + (even[: miss.size] + np.append(even[1:], even[-1:])[: miss.size] >> 1)).astype(np.int16)
+    return out
+
+
 def riff(samples: bytes, codec: str, rate: int, block: int = 1) -> bytes:
     """A RIFF/WAVE file of one channel."""
     bits = {"pcm": 16, "adpcm": 4}.get(codec, 8)
@@ -117,48 +142,52 @@ def samples_of(codec: str, raw: bytes, block: int) -> np.ndarray:
     return MULAW[x] if codec == "mulaw" else ALAW[x] if codec == "alaw" else np.frombuffer(raw, "<i2")
 
 
-def store(docs: DataFrame, *, codec: str = "mulaw", rate: int = 8000, unit: int = 576, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, media: a written table of files that hold each text's padded UTF-8 bytes as samples."""
-    block = unit if codec == "adpcm" else 1
+#: The codecs that a checksum deals payloads to.
+DEALT = ("mulaw", "alaw", "adpcm")
+
+
+def store(docs: DataFrame, *, codec: str | None = None, rate: int = 8000, unit: int = 576, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, media: a written table of files that hold each text's padded UTF-8 bytes as samples.
+
+    ``codec`` is that of every file; None deals each payload by its checksum, equal ones alike.
+    """
+
+    def file(raw: bytes) -> bytes:
+        payload = raw + b"\xff" * (max(unit, -(-len(raw) // unit) * unit) - len(raw))
+        kind = codec or DEALT[zlib.crc32(payload) % len(DEALT)]
+        return riff(payload, kind, rate, unit if kind == "adpcm" else 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                b = batch.slice(a, 500)
-                raw = [(t or "").encode() for t in b.column(1).to_pylist()]
-                media = [riff(x + b"\xff" * (max(unit, -(-len(x) // unit) * unit) - len(x)), codec, rate, block) for x in raw]
+            for a in range(0, batch.num_rows, 200):
+                b = batch.slice(a, 200)
+                media = [file((t or "").encode()) for t in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "media"])
 
-    return materialise(project(docs, doc_id=id_col, text=text_col).mapInArrow(run, "doc_id long, media binary"), "media")
+    return materialise(project(docs, doc_id=id_col, text=text_col).mapInArrow(run, "doc_id long, media binary"), "media", level=ZSTD_LEVEL)
 
 
-def _sums(x: np.ndarray, starts: np.ndarray) -> list[int]:
-    return np.add.reduceat(x, starts).tolist()
+def decode(media: DataFrame, *, to: int = 16000, most_bytes: int = 1 << 21) -> DataFrame:
+    """doc_id, media, payload (stored samples), n_bytes (unpadded), pcm (16-bit at ``to`` Hz, lifted) and features.
 
-
-def decode(media: DataFrame, *, to: int = 16000, unit: int = 576, most_bytes: int = 1 << 22) -> DataFrame:
-    """doc_id, media, payload (stored samples), n_bytes (unpadded), pcm (16-bit at ``to`` Hz) and features.
-
-    Features, summed over a file: mean size and sign changes of the stored codec's signal,
-    mean size of the A-law reading, and mean size of the ADPCM reading in blocks of ``unit``.
-    ``most_bytes`` of samples are decoded together (a longer file alone).
+    Features: the codec, and mean size and sign changes of its signal. ``most_bytes`` of
+    samples are decoded together (a longer file alone), the ADPCM blocks of all files at once.
     """
 
     def digest(ids: list, files: list[bytes]) -> pa.RecordBatch:
         parsed = [parse(m) for m in files]
-        sizes = np.array([len(p[3]) for p in parsed])
-        flat = np.frombuffer(b"".join([p[3] for p in parsed]), np.uint8)
-        starts = np.cumsum(sizes) - sizes
-        alaw = _sums(np.abs(ALAW[flat].astype(np.int64)), starts)
-        blocks = flat.reshape(-1, unit)
-        adpcm = _sums(np.abs(decode_adpcm(blocks).astype(np.int32)).sum(axis=1, dtype=np.int64), starts // unit)
-        per_block = 1 + 2 * (unit - 4)
+        signal: dict[int, np.ndarray] = {}
+        for size in sorted({block for codec, _, block, _ in parsed if codec == "adpcm"}):
+            at = [k for k, p in enumerate(parsed) if p[0] == "adpcm" and p[2] == size]
+            blocks = np.frombuffer(b"".join([parsed[k][3] for k in at]), np.uint8).reshape(-1, size)
+            ends = np.cumsum([len(parsed[k][3]) // size for k in at])[:-1]
+            signal.update(zip(at, (x.ravel() for x in np.split(decode_adpcm(blocks), ends)), strict=True))
         pcm, said = [], []
         for k, (codec, rate, block, raw) in enumerate(parsed):
-            x = samples_of(codec, raw, block)
+            x = signal.pop(k) if k in signal else samples_of(codec, raw, block)
             turns = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
-            said.append(f"{codec}={int(np.abs(x.astype(np.int64)).sum()) // x.size},{turns};alaw={alaw[k] // int(sizes[k])};adpcm={adpcm[k] // (int(sizes[k]) // unit * per_block)}")
-            pcm.append(resample(x, rate, to).astype("<i2").tobytes())
+            said.append(f"{codec}={int(np.abs(x.astype(np.int64)).sum()) // max(1, x.size)},{turns}")
+            pcm.append(lift(resample(x, rate, to)))
         return pa.RecordBatch.from_arrays(
             [pa.array(ids, pa.int64()), pa.array(files, pa.binary()), pa.array([p[3] for p in parsed], pa.binary()), pa.array([len(p[3].rstrip(b"\xff")) for p in parsed], pa.int64()), pa.array(pcm, pa.binary()), pa.array(said, pa.string())],
             names=["doc_id", "media", "payload", "n_bytes", "pcm", "features"],
@@ -181,5 +210,19 @@ def decode(media: DataFrame, *, to: int = 16000, unit: int = 576, most_bytes: in
 
 
 def store_pcm(decoded: DataFrame) -> DataFrame:
-    """The rows of ``decode`` (or some of its columns with pcm) as a written table, read back."""
-    return materialise(decoded, "pcm")
+    """The rows of ``decode`` (or some of its columns with pcm) as a written table; ``read_pcm`` gives the samples."""
+    return materialise(decoded, "pcm", level=ZSTD_LEVEL)
+
+
+def read_pcm(stored: DataFrame) -> DataFrame:
+    """The rows of ``store_pcm`` with ``pcm`` as plain little-endian 16-bit samples."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("pcm")
+            for a in range(0, batch.num_rows, 200):
+                b = batch.slice(a, 200)
+                plain = [unlift(x.as_buffer()).astype("<i2").tobytes() for x in b.column(at)]
+                yield b.set_column(at, "pcm", pa.array(plain, pa.binary()))
+
+    return stored.mapInArrow(run, stored.schema)
