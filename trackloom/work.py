@@ -46,13 +46,15 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, tag: str, compression: str = "zstd", level: int | None = None) -> DataFrame:
+def materialise(df: DataFrame, tag: str, compression: str = "zstd", level: int | None = None, page: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, tag)
     writer = df.write.option("compression", compression)
     if level is not None:
         writer = writer.option("parquet.compression.codec.zstd.level", str(level))
+    if page is not None:
+        writer = writer.option("parquet.page.size", str(page))
     writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.trackloom_path = path
