@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 
 from .common import materialise, project
 
-#: Compression level of the written tables.
-ZSTD_LEVEL = 9
+#: Compression of the written tables.
+STORED = {"level": 12, "page": 1 << 22}
 TAGS = {"pcm": 1, "alaw": 6, "mulaw": 7, "adpcm": 17}
 # Fixed values of the IMA ADPCM standard.
 STEPS = np.array(
@@ -164,7 +164,7 @@ def store(docs: DataFrame, *, codec: str | None = None, rate: int = 8000, unit:
                 media = [file((t or "").encode()) for t in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "media"])
 
-    return materialise(project(docs, doc_id=id_col, text=text_col).mapInArrow(run, "doc_id long, media binary"), "media", level=ZSTD_LEVEL)
+    return materialise(project(docs, doc_id=id_col, text=text_col).mapInArrow(run, "doc_id long, media binary"), "media", **STORED)
 
 
 def decode(media: DataFrame, *, to: int = 16000, most_bytes: int = 1 << 21) -> DataFrame:
@@ -211,7 +211,7 @@ def decode(media: DataFrame, *, to: int = 16000, most_bytes: int = 1 << 21) -> D
 
 def store_pcm(decoded: DataFrame) -> DataFrame:
     """The rows of ``decode`` (or some of its columns with pcm) as a written table; ``read_pcm`` gives the samples."""
-    return materialise(decoded, "pcm", level=ZSTD_LEVEL)
+    return materialise(decoded, "pcm", **STORED)
 
 
 def read_pcm(stored: DataFrame) -> DataFrame:
