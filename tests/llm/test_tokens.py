@@ -14,7 +14,6 @@ BITS = [" ", "  ", "\n", " \n", "\t", "a", "B.", "'s", "é", "́", "1", "<|endof
 
 def direct(name, texts):
     tok = Tokenizer.from_file(public_tokenizers.path(name))
-    tok.encode_special_tokens = True
     return [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -50,6 +49,42 @@ def test_token_files(spark, sf_rows, odd, none):
     assert huffman.read(spark, huffman.write(none, public_tokenizers.path("byte_bpe_50k.json"))).count() == 0
 
 
+def test_files_ascend(spark, tmp_path):
+    """Blocks in order of file names have rising places, whatever the order of the rows."""
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(7, "lang", "text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        path = huffman.write(docs, public_tokenizers.path("byte_bpe_50k.json"), path=f"file://{tmp_path}/out", block_ids=5000)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted(Path(tmp_path, "out", "blocks").glob("part-*.parquet"))
+    first = dict(spark.read.parquet(f"{path}/parts").collect())
+    book = {r["token"]: r["bits"] for r in spark.read.parquet(f"{path}/codebook").collect()}
+    lengths = np.zeros(max(book) + 1, np.uint8)
+    lengths[list(book)] = list(book.values())
+    book, at, ids, blocks = huffman.Codebook(lengths), 0, [], 0
+    for f in files:
+        for r in pq.read_table(f).to_pylist():
+            assert first[r["part"]] + r["at"] == at
+            ids += huffman.read_block(book, r["block"])[0]
+            at, blocks = at + r["n_ids"], blocks + 1
+    assert len(files) > 1 and blocks > 2 * len(files)
+    assert ids == sorted(r[0] for r in docs.select("doc_id").collect())
+
+
+def test_long_and_repeated_documents(spark):
+    text = "some words 123 and <|endoftext|> more, " * 30_000
+    df = spark.createDataFrame([(3, text), (3, text), (1, None), (2, "")], "doc_id long, text string")
+    want = direct("byte_bpe_50k.json", [text])[0]
+    back = huffman.read(spark, huffman.write(df, public_tokenizers.path("byte_bpe_50k.json"))).orderBy("start").collect()
+    assert [(r["doc_id"], r["start"], len(r["ids"]) // 4) for r in back] == [(1, 0, 1), (2, 1, 1), (3, 2, len(want) + 1), (3, 3 + len(want), len(want) + 1)]
+    assert np.frombuffer(back[3]["ids"], "<u4").tolist() == [*want, 2]
+
+
 def test_code_lengths():
     rng = np.random.default_rng(3)
     for n in (0, 1, 2, 3, 300, 5000):

@@ -1,7 +1,9 @@
 """Token ids in canonical length-limited Huffman code, in independent blocks.
 
-Format: a codebook table (token, bits: the canonical code follows from the lengths) and a
-table of blocks in ascending document order. A block holds whole documents:
+Format: a codebook table (token, bits: the canonical code follows from the lengths), a table
+of blocks in ascending document order, and a table of the ids before each of its parts. Parts
+are ranges of document ids, each a file, and files in order of their names ascend. A block
+holds whole documents:
 
     b"TLHF" | u32 version 1 | u32 interval | u32 documents | u64 ids
     | i64 document ids | u8 document id is null | u64 ids of each document
@@ -26,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, fresh_path, materialise, project, release_shuffles
+from .common import discard, fresh_path, materialise, project
 from .tokens import encoder
 
 MAGIC = b"TLHF"
@@ -154,101 +156,101 @@ def read_block(book: Codebook, block: bytes) -> tuple[list, list[np.ndarray]]:
 
 
 def write(docs: DataFrame, tokenizer: str, *, path: str | None = None, end_id: int = 2, most_bits: int = 16, block_ids: int = 1 << 16, interval: int = 256, id_col: str = "doc_id", text_col: str = "text") -> str:
-    """Encode all documents and write the two tables under ``path``; returns the path.
+    """Encode all documents and write the three tables under ``path``; returns the path.
 
-    Documents are dealt by ranges of id, so files and blocks ascend. The ids are counted
-    over all documents before any block is written. What reaches the driver is bounded by
-    the vocabulary (counts) and by the number of files (ids in each).
+    Without ``path`` they lie in the work folder, which goes with the application. Texts are
+    read once: each task writes its documents' ids and its counts of them. The ids, not the
+    texts, are then dealt by ranges of document id, sorted and written in blocks, so that no
+    block is read again to bring files in order. What reaches the driver is bounded by the
+    vocabulary (counts) and by the number of files (ids in each).
     """
     spark = docs.sparkSession
     path = path or fresh_path(spark, "tokens")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end, part = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
-        at = 0
-        narrow = "<u2" if max(enc.vocab_size, end_id + 1) <= 1 << 16 else "<u4"
+        enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        size = max(enc.vocab_size, end_id + 1)
+        narrow = "<u2" if size <= 1 << 16 else "<u4"
+        found = np.zeros(size, np.int64)
         for batch in batches:
             for a in range(0, batch.num_rows, 2000):
                 b = batch.slice(a, 2000)
-                raw = enc.encode_many([t or "" for t in b.column(1).to_pylist()])
-                raw = [np.frombuffer(x + end, "<u4") for x in raw]
-                sizes = np.array([x.size for x in raw], np.int64)
-                starts, at = at + np.cumsum(sizes) - sizes, at + int(sizes.sum())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * b.num_rows, pa.int64()), b.column(0).cast(pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array([x.astype(narrow).tobytes() for x in raw], pa.binary())],
-                    names=["part", "doc_id", "at", "n", "ids"],
-                )
+                raw = [x + end for x in enc.encode_many([t or "" for t in b.column(1).to_pylist()])]
+                flat = np.frombuffer(b"".join(raw), "<u4")
+                found += np.bincount(flat, minlength=size)
+                flat = flat.astype(narrow)
+                n = np.array([len(x) // 4 for x in raw], np.int64)
+                ends = (np.cumsum(n) * flat.itemsize).astype(np.int32)
+                ids = pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(np.concatenate([[0], ends]).astype("<i4").tobytes()), pa.py_buffer(flat.tobytes())])
+                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n), ids, pa.nulls(len(raw), pa.binary())], names=["doc_id", "n", "ids", "counts"])
+        used = np.flatnonzero(found)
+        counts = used.astype("<i8").tobytes() + found[used].astype("<i8").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([0], pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts], pa.binary())], names=["doc_id", "n", "ids", "counts"])
 
     source = project(docs, doc_id=id_col, text=text_col)
-    dealt = source.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    tokens = materialise(dealt.mapInArrow(encode, "part long, doc_id long, at long, n long, ids binary"), "token-ids")
-    del dealt
-    release_shuffles(spark)
-    totals = sorted((r[0], r[1]) for r in tokens.groupBy("part").agg(F.sum("n")).collect())
-    first = dict(zip([p for p, _ in totals], np.concatenate([[0], np.cumsum([n for _, n in totals])])[:-1].tolist() if totals else [], strict=True))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(0, np.int64)
+    tokens = materialise(source.mapInArrow(encode, "doc_id long, n long, ids binary, counts binary"), "token-ids")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = np.bincount(np.frombuffer(raw, f"<u{len(raw) // n}"))
-                if got.size > found.size:
-                    got[: found.size] += found
-                    found = got
-                else:
-                    found[: got.size] += got
-        used = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(found[used], pa.int64())], names=["token", "n"])
+            for raw in batch.column(0).to_pylist():
+                both = np.frombuffer(raw, "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.split(both, 2)], names=["token", "n"])
 
-    counted = tokens.select("n", "ids").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
+    counted = tokens.filter("counts is not null").select("counts").mapInArrow(spread, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
     token, n = (counted.column(c).to_numpy() for c in ("token", "n"))
     counts = np.zeros(int(token.max(initial=0)) + 1, np.int64)
     counts[token] = n
     lengths = code_lengths(counts, most_bits)
-    shared = spark.sparkContext.broadcast((lengths, first))
+    shared = spark.sparkContext.broadcast(lengths)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths, first = shared.value
-        book = Codebook(lengths)
-        names, ids, start, end, size = [], [], 0, None, 0
+        book, part = Codebook(shared.value), TaskContext.get().partitionId()
+        names, ids, at, size = [], [], 0, 0
 
         def rows():
-            return pa.RecordBatch.from_arrays([pa.array([start], pa.int64()), pa.array([size], pa.int64()), pa.array([write_block(book, names, ids, interval)], pa.binary())], names=["start", "n_ids", "block"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([at], pa.int64()), pa.array([size], pa.int64()), pa.array([write_block(book, names, ids, interval)], pa.binary())], names=["part", "at", "n_ids", "block"])
 
         for batch in batches:
-            for part, doc, at, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                at += first[part]
-                if ids and (at != end or size >= block_ids):  # another file, or full
+            for doc, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if ids and size + n > block_ids:
                     yield rows()
-                    names, ids, size = [], [], 0
-                if not ids:
-                    start = at
+                    names, ids, at, size = [], [], at + size, 0
                 names.append(doc)
                 ids.append(np.frombuffer(raw, f"<u{len(raw) // n}").astype(np.uint32))
-                size, end = size + n, at + n
+                size += n
         if ids:
             yield rows()
 
     spark.createDataFrame([(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)], "token long, bits int").coalesce(1).write.parquet(f"{path}/codebook")
-    tokens.mapInArrow(blocks, "start long, n_ids long, block binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    dealt = tokens.filter("counts is null").select("doc_id", "n", "ids").withColumn("tie", F.xxhash64("ids")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    dealt.select("doc_id", "n", "ids").mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     discard(spark, tokens.trackloom_path)
+    totals = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()  # one row a file
+    first = np.concatenate([[0], np.cumsum([r["n"] for r in totals])])[:-1] if totals else []
+    spark.createDataFrame([(r["part"], int(f)) for r, f in zip(totals, first, strict=True)], "part int, first long").coalesce(1).write.parquet(f"{path}/parts")
     return path
 
 
+#: part: which file; at: ids before the block in its file.
+BLOCKS = "part int, at long, n_ids long, block binary"
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Documents of the blocks under ``path``: doc_id, start (ids before it), ids (uint32, little-endian)."""
-    rows = spark.read.parquet(f"{path}/codebook").toArrow()  # at most the vocabulary
+    rows = spark.read.schema("token long, bits int").parquet(f"{path}/codebook").toArrow()  # at most the vocabulary
     token, bits = (rows.column(c).to_numpy() for c in ("token", "bits"))
     lengths = np.zeros(int(token.max(initial=0)) + 1, np.uint8)
     lengths[token] = bits
-    shared = spark.sparkContext.broadcast(lengths)
+    parts = dict(spark.read.schema("part int, first long").parquet(f"{path}/parts").collect())  # one row a file
+    shared = spark.sparkContext.broadcast((lengths, parts))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        book = Codebook(shared.value)
+        lengths, parts = shared.value
+        book = Codebook(lengths)
         for batch in batches:
-            for start, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for part, at, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 docs, ids = read_block(book, block.as_buffer().to_pybytes())
-                starts = start + np.concatenate([[0], np.cumsum([x.size for x in ids])])[:-1].astype(np.int64)
+                starts = parts[part] + at + np.concatenate([[0], np.cumsum([x.size for x in ids])])[:-1].astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], names=["doc_id", "start", "ids"])
 
-    return spark.read.schema("start long, block binary").parquet(f"{path}/blocks").mapInArrow(decode, "doc_id long, start long, ids binary")
+    return spark.read.schema(BLOCKS).parquet(f"{path}/blocks").select("part", "at", "block").mapInArrow(decode, "doc_id long, start long, ids binary")

@@ -31,7 +31,8 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: Added tokens stand for themselves wherever their strings occur; texts that hold one are encoded whole.
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         probe = self.tok.encode_batch_fast(["a b", "a", "b", " b", " \x01 "], add_special_tokens=False)
         ids = [e.ids for e in probe]
         self.drops_space = ids[2] == ids[3] and ids[0] == ids[1] + ids[2]
@@ -105,7 +106,12 @@ class PieceEncoder:
         new: set[str] = set()
         odd: list[int] = []
         get, total = self.memo.get, 0
+        marked = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
+        for i, ids in zip(marked, self._direct([texts[i] for i in marked]), strict=True):
+            out[i] = ids
         for i, text in enumerate(texts):
+            if out[i] is not None:
+                continue
             parts = text.split(" ")
             total += len(parts)
             ids = list(map(get, parts))
@@ -132,7 +138,7 @@ class PieceEncoder:
         for i, parts, ids in open_:
             out[i] = b"".join([done[p] if v is None else v for p, v in zip(parts, ids, strict=True)])
         if not self.drops_space:
-            plain = sorted(set(range(len(texts))).difference(odd))
+            plain = sorted(set(range(len(texts))).difference(odd, marked))
             for i, head in zip(plain, self._direct([texts[i].partition(" ")[0] for i in plain]), strict=True):
                 out[i] = head + out[i]
         if len(done) > 0.5 * max(1, total) and len(self.memo) >= MEMO_PIECES:
