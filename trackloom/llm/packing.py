@@ -123,8 +123,8 @@ def pack(docs: DataFrame, tokenizer: str, *, window: int = 2048, end_id: int = 1
         enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         packer = SumOfSquares(window, most_open, TaskContext.get().partitionId() << 40)
         for batch in batches:
-            for a in range(0, batch.num_rows, 2000):
-                part = batch.slice(a, 2000)
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 for doc, raw in zip(part.column(0).to_pylist(), enc.encode_many(texts), strict=True):
                     packer.add(doc, np.frombuffer(raw + end, "<u4"))

@@ -14,8 +14,8 @@ import re
 
 import numpy as np
 
-#: Pieces that a worker remembers, and the longest piece worth remembering. Neither changes results.
-MEMO_PIECES, MEMO_CHARS = 1_000_000, 64
+#: Pieces that a worker remembers, the longest piece worth remembering, and places of the table that says which have been met before. None changes results.
+MEMO_PIECES, MEMO_CHARS, MET = 400_000, 64, 1 << 24
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -44,6 +44,7 @@ class PieceEncoder:
         self.vocab_size = size
         self.memo: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
+        self.met, self.n_met = np.zeros(MET, bool), 0
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
@@ -102,7 +103,7 @@ class PieceEncoder:
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
-        open_: list[tuple[int, list[str], list[bytes | None]]] = []
+        open_: list[tuple[int, list[bytes | None], list[int], list[str]]] = []  # text, ids, places and pieces still wanted
         new: set[str] = set()
         odd: list[int] = []
         get, total = self.memo.get, 0
@@ -118,14 +119,20 @@ class PieceEncoder:
             if not self.drops_space:
                 ids[0] = b""  # the piece with no space before it is encoded with its like below
             if None in ids:
-                missing = [p for p, v in zip(parts, ids, strict=True) if v is None]
-                if any(not p or len(p) > MEMO_CHARS or p[0].isspace() or p[-1].isspace() for p in missing):
-                    odd.append(i)
-                    continue
+                holes, k = [], -1
+                for _ in range(ids.count(None)):
+                    holes.append(k := ids.index(None, k + 1))
+                missing = [parts[k] for k in holes]
                 new.update(missing)
-                open_.append((i, parts, ids))
+                open_.append((i, ids, holes, missing))
             else:
                 out[i] = b"".join(ids)
+        bad = {p for p in new if not p or len(p) > MEMO_CHARS or p[0].isspace() or p[-1].isspace()}
+        if bad:
+            odd = [x[0] for x in open_ if not bad.isdisjoint(x[3])]
+            left = set(odd)
+            open_ = [x for x in open_ if x[0] not in left]
+            new = set().union(*(x[3] for x in open_))
         for i in odd:
             # empty pieces, long ones, or blanks at an end: cut only where that is safe
             parts = texts[i].split(" ") if self.drops_space else _SAFE_CUT.split(texts[i])
@@ -135,17 +142,29 @@ class PieceEncoder:
                 ids[k] = v
             out[i] = b"".join(ids)
         done = self._learn(new)
-        for i, parts, ids in open_:
-            out[i] = b"".join([done[p] if v is None else v for p, v in zip(parts, ids, strict=True)])
+        for i, ids, holes, missing in open_:
+            for k, p in zip(holes, missing, strict=True):
+                ids[k] = done[p]
+            out[i] = b"".join(ids)
         if not self.drops_space:
             plain = sorted(set(range(len(texts))).difference(odd, marked))
             for i, head in zip(plain, self._direct([texts[i].partition(" ")[0] for i in plain]), strict=True):
                 out[i] = head + out[i]
         if len(done) > 0.5 * max(1, total) and len(self.memo) >= MEMO_PIECES:
             self.memo.clear()  # other kinds of text than before
-        self.memo.update(itertools.islice(done.items(), max(0, MEMO_PIECES - len(self.memo))))
+        self._remember(done)
         return out
 
+    def _remember(self, done: dict[str, bytes]) -> None:
+        """Keep the pieces met for the second time: most are met once only."""
+        at = np.fromiter(map(hash, done), np.int64, len(done)) & (MET - 1)
+        again = self.met[at]
+        if self.n_met > MET // 4:
+            self.met[:], self.n_met = False, 0
+        self.met[at] = True
+        self.n_met += at.size - int(again.sum())
+        self.memo.update(itertools.islice(itertools.compress(done.items(), again.tolist()), max(0, MEMO_PIECES - len(self.memo))))
+
 
 @functools.lru_cache(maxsize=4)
 def encoder(path: str) -> PieceEncoder:
