@@ -126,22 +126,23 @@ class Codebook:
         return out.reshape(-1)[:n]
 
 
-def write_block(book: Codebook, docs: list, ids: list[np.ndarray], interval: int) -> bytes:
-    flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+def write_block(book: Codebook, docs: list, sizes: list[int], flat: np.ndarray, interval: int) -> bytes:
+    """A block of documents, their numbers of ids and all their ids."""
     bits, offsets = book.encode(flat, interval)
     return b"".join(
         [
             _HEAD.pack(MAGIC, 1, interval, len(docs), flat.size),
             np.array([d or 0 for d in docs], "<i8").tobytes(),
             np.array([d is None for d in docs], "u1").tobytes(),
-            np.array([x.size for x in ids], "<u8").tobytes(),
+            np.array(sizes, "<u8").tobytes(),
             offsets.tobytes(),
             bits,
         ]
     )
 
 
-def read_block(book: Codebook, block: bytes) -> tuple[list, list[np.ndarray]]:
+def read_block(book: Codebook, block: bytes) -> tuple[list, np.ndarray, np.ndarray]:
+    """Documents of a block, their numbers of ids and all their ids."""
     magic, version, interval, n_docs, n = _HEAD.unpack_from(block)
     if magic != MAGIC or version != 1:
         raise ValueError("not a token block")
@@ -152,10 +153,16 @@ def read_block(book: Codebook, block: bytes) -> tuple[list, list[np.ndarray]]:
     runs = -(-n // interval)
     offsets = np.frombuffer(block, "<u8", runs, at := at + 8 * n_docs)
     flat = book.decode(block[at + 8 * runs :], n, offsets, interval)
-    return [None if z else d for d, z in zip(docs.tolist(), null.tolist(), strict=True)], np.split(flat, np.cumsum(sizes)[:-1]) if n_docs else []
+    return [None if z else d for d, z in zip(docs.tolist(), null.tolist(), strict=True)], sizes, flat
 
 
-def write(docs: DataFrame, tokenizer: str, *, path: str | None = None, end_id: int = 2, most_bits: int = 16, block_ids: int = 1 << 16, interval: int = 256, id_col: str = "doc_id", text_col: str = "text") -> str:
+def _binary(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Runs of ``flat`` as rows of a binary column."""
+    ends = np.concatenate([[0], np.cumsum(sizes)]) * flat.itemsize
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends.astype("<i8").tobytes()), pa.py_buffer(flat.tobytes())]).cast(pa.binary())
+
+
+def write(docs: DataFrame, tokenizer: str, *, path: str | None = None, end_id: int = 2, most_bits: int = 16, block_ids: int = 1 << 18, interval: int = 256, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Encode all documents and write the three tables under ``path``; returns the path.
 
     Without ``path`` they lie in the work folder, which goes with the application. Texts are
@@ -178,11 +185,8 @@ def write(docs: DataFrame, tokenizer: str, *, path: str | None = None, end_id: i
                 raw = [x + end for x in enc.encode_many([t or "" for t in b.column(1).to_pylist()])]
                 flat = np.frombuffer(b"".join(raw), "<u4")
                 found += np.bincount(flat, minlength=size)
-                flat = flat.astype(narrow)
                 n = np.array([len(x) // 4 for x in raw], np.int64)
-                ends = (np.cumsum(n) * flat.itemsize).astype(np.int32)
-                ids = pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(np.concatenate([[0], ends]).astype("<i4").tobytes()), pa.py_buffer(flat.tobytes())])
-                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n), ids, pa.nulls(len(raw), pa.binary())], names=["doc_id", "n", "ids", "counts"])
+                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n), _binary(flat.astype(narrow), n), pa.nulls(len(raw), pa.binary())], names=["doc_id", "n", "ids", "counts"])
         used = np.flatnonzero(found)
         counts = used.astype("<i8").tobytes() + found[used].astype("<i8").tobytes()
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([0], pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts], pa.binary())], names=["doc_id", "n", "ids", "counts"])
@@ -205,20 +209,23 @@ def write(docs: DataFrame, tokenizer: str, *, path: str | None = None, end_id: i
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book, part = Codebook(shared.value), TaskContext.get().partitionId()
-        names, ids, at, size = [], [], 0, 0
+        names, sizes, ids, at, size = [], [], [], 0, 0
 
         def rows():
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([at], pa.int64()), pa.array([size], pa.int64()), pa.array([write_block(book, names, ids, interval)], pa.binary())], names=["part", "at", "n_ids", "block"])
+            flat = np.frombuffer(b"".join(ids), f"<u{sum(map(len, ids)) // size}").astype(np.uint32)
+            block = write_block(book, names, sizes, flat, interval)
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([at], pa.int64()), pa.array([size], pa.int64()), pa.array([block], pa.binary())], names=["part", "at", "n_ids", "block"])
 
         for batch in batches:
             for doc, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if ids and size + n > block_ids:
+                if names and size + n > block_ids:
                     yield rows()
-                    names, ids, at, size = [], [], at + size, 0
+                    names, sizes, ids, at, size = [], [], [], at + size, 0
                 names.append(doc)
-                ids.append(np.frombuffer(raw, f"<u{len(raw) // n}").astype(np.uint32))
+                sizes.append(n)
+                ids.append(raw)
                 size += n
-        if ids:
+        if names:
             yield rows()
 
     spark.createDataFrame([(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)], "token long, bits int").coalesce(1).write.parquet(f"{path}/codebook")
@@ -249,8 +256,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         book = Codebook(lengths)
         for batch in batches:
             for part, at, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                docs, ids = read_block(book, block.as_buffer().to_pybytes())
-                starts = parts[part] + at + np.concatenate([[0], np.cumsum([x.size for x in ids])])[:-1].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], names=["doc_id", "start", "ids"])
+                docs, sizes, flat = read_block(book, block.as_buffer().to_pybytes())
+                starts = parts[part] + at + np.cumsum(sizes) - sizes
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts), _binary(flat.astype("<u4"), sizes)], names=["doc_id", "start", "ids"])
 
     return spark.read.schema(BLOCKS).parquet(f"{path}/blocks").select("part", "at", "block").mapInArrow(decode, "doc_id long, start long, ids binary")
