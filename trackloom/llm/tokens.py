@@ -8,6 +8,7 @@ keeps the ids of short pieces it has met; the tokenizer itself sees only new one
 from __future__ import annotations
 
 import functools
+import gc
 import itertools
 import os
 import re
@@ -102,6 +103,16 @@ class PieceEncoder:
         return done
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text. Nothing here refers to itself, so cycles are not looked for meanwhile."""
+        was = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if was:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
         open_: list[tuple[int, list[bytes | None], list[int], list[str]]] = []  # text, ids, places and pieces still wanted
         new: set[str] = set()
