@@ -39,17 +39,53 @@ def test_recall_and_scores(spark):
     assert hit >= 0.9 * sum(map(len, want.values()))
 
 
-def test_forest_on_many_vectors_prunes_and_recalls():
-    rng = np.random.default_rng(0)
+def measured(v, queries, miss=0.08):
+    """Recall at 20, the least of a query, and the mean share of vectors that were scored."""
+    forest, ids, hits, seen = ann.Forest(v, 64, 32, 11), np.arange(len(v)), [], 0
+    for k, (rows, rough) in enumerate(forest.search(queries, 20, 400, miss)):
+        got, _ = ann.best(ids[rows], v, queries[k], 20, rough, rows)
+        want, _ = ann.best(ids, v, queries[k], 20, v @ queries[k], ids)
+        hits.append(len(set(got) & set(want)) / 20)
+        seen += rows.size
+    return np.mean(hits), min(hits), seen / len(queries) / len(v)
+
+
+def clustered(n, unequal, seed=0):
+    rng = np.random.default_rng(seed)
     centres = rng.standard_normal((60, 64))
-    v = centres[rng.integers(0, 60, 6000)] + 0.3 * rng.standard_normal((6000, 64))
-    forest, q = ann.Forest(v, 64, 32, 11), v[:40]
-    ids, hit, seen = np.arange(6000), 0, 0
-    for k, (rows, rough) in enumerate(forest.search(q, 20, 400, 0.08)):
-        got, _ = ann.best(ids[rows], v, q[k], 20, rough, rows)
-        want, _ = ann.best(ids, v, q[k], 20, v @ q[k], ids)
-        hit, seen = hit + len(set(got) & set(want)), seen + rows.size
-    assert hit >= 0.9 * 800 and seen < 0.5 * 40 * 6000
+    v = centres[rng.integers(0, 60, n)] + 0.3 * rng.standard_normal((n, 64))
+    return v * rng.uniform(0.5, 1.5, (n, 1)) if unequal else v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def test_forest_prunes_and_recalls():
+    v = clustered(6000, unequal=False)
+    recall, _, share = measured(v, v[:40])
+    assert recall >= 0.9 and share < 0.2
+
+
+def test_forest_on_unequal_lengths():
+    v = clustered(6000, unequal=True)
+    recall, least, share = measured(v, v[:40])
+    assert recall >= 0.9 and share < 0.6
+
+
+def test_several_blocks_recall(spark):
+    v = clustered(3000, unequal=True, seed=4).astype(np.float32)
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want, got = brute(rows), read(ann.nearest(df, block_rows=700, chunk_queries=64))
+    hit = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert got.keys() == want.keys() and hit >= 0.9 * sum(map(len, want.values()))
+
+
+def test_repeated_ids_are_asked_once(spark):
+    v = clustered(300, unequal=False).tolist()
+    rows = [(i, x) for i, x in enumerate(v)]
+    df = spark.createDataFrame([*rows, (20, v[20]), (20, v[20]), (40, v[41])], "vec_id long, embedding array<double>")
+    got = read(ann.nearest(df))
+    plain = brute(rows)
+    assert len(got[20]) == 20 and len({i for i, _ in got[20]}) == 20 and 20 not in {i for i, _ in got[20]}
+    assert {i for i, _ in got[20]} <= {i for i, _ in plain[20]} | {40}
 
 
 def test_odd_vectors_ties_and_blocks(spark):

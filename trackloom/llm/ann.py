@@ -5,11 +5,15 @@ array; a node is the range of strings that share a prefix. A query goes down eac
 its longest prefix that some vector has, then all trees go up one bit at a time together,
 each step adding the vectors whose strings share the shorter prefix.
 
+Nearness is the inner product, hashes see angles: so each vector x of a block gets one more
+component, sqrt(m^2 - |x|^2) with m the greatest length in the block, and queries a zero.
+All raised vectors have length m, the products stay, and order by product is order by angle.
+
 When to stop: at prefix length x a vector at angle t from the query has been missed with
 probability (1 - (1 - t/pi)^x)^trees. The climb ends once there are enough candidates and
-that probability, for the k-th best found so far, is at most ``miss``. No cap on
-candidates: where vectors are spread evenly the climb goes on to short prefixes, at worst
-to the root, which is the exact search.
+that probability, for the k-th best found so far, is at most ``miss``. Products are computed
+for candidates only. No cap on candidates: where vectors are spread evenly the climb goes on
+to short prefixes, at worst to the root, which is the exact search.
 
 The stated queries meet all rows in blocks: the rows are dealt to blocks of a bounded
 number of rows, each an index of its own, the queries to chunks, and each pair of block
@@ -19,7 +23,8 @@ planes come from a seed; nothing is fitted.
 Vectors that are null, zero, of another length than ``dim``, or hold null or non-finite
 components take no part. Scores are inner products in double precision, summed component by
 component, so equal vectors have equal scores; ties go to the smaller id. Null ids take no
-part; repeated rows are candidates each. Other columns are not read.
+part. A repeated id is asked once, with its least vector, and rows of its id are its own;
+repeated rows of other ids are candidates each. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -40,24 +45,27 @@ class Forest:
 
     def __init__(self, vectors: np.ndarray, trees: int, bits: int, seed: int):
         self.vectors, self.trees, self.bits = vectors, trees, bits
-        self.planes = np.random.default_rng(seed).standard_normal((trees, vectors.shape[1], bits))
+        squares = np.einsum("ij,ij->i", vectors, vectors)
+        self.length = float(np.sqrt(squares.max()))
+        raised = np.column_stack([vectors, np.sqrt(np.maximum(0, squares.max() - squares))])
+        self.planes = np.random.default_rng(seed).standard_normal((trees, vectors.shape[1] + 1, bits))
         self.order, self.keys = [], []
         for t in range(trees):
-            keys = self.strings(vectors, t)
+            keys = self.strings(raised, t)
             order = np.argsort(keys, kind="stable")
             self.order.append(order)
             self.keys.append(keys[order])
 
-    def strings(self, vectors: np.ndarray, tree: int) -> np.ndarray:
+    def strings(self, raised: np.ndarray, tree: int) -> np.ndarray:
         """Hash strings of up to 64 bits, the first bit most significant."""
-        up = vectors @ self.planes[tree] > 0
+        up = raised @ self.planes[tree] > 0
         weights = np.uint64(1) << np.arange(63, 63 - self.bits, -1, dtype=np.uint64)
         return (up * weights).sum(axis=1, dtype=np.uint64)
 
     def search(self, queries: np.ndarray, k: int, enough: int, miss: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each query its candidates, as row numbers, and their rough products."""
-        size = np.linalg.norm(self.vectors, axis=1)
-        strings = [self.strings(queries, t) for t in range(self.trees)]
+        raised = np.column_stack([queries, np.zeros(len(queries))])
+        strings = [self.strings(raised, t) for t in range(self.trees)]
         n, full = len(self.vectors), np.uint64(0xFFFFFFFFFFFFFFFF)
         # descend: the longest prefix shared with a neighbour in the sorted array
         deepest = np.zeros((self.trees, len(queries)), np.int64)
@@ -80,38 +88,37 @@ class Forest:
 
         norms = np.linalg.norm(queries, axis=1)
         for q in range(len(queries)):
-            if q % 128 == 0:  # products of some queries with the block, looked up for candidates only
-                products = queries[q : q + 128] @ self.vectors.T
-            product = products[q % 128]
             found, x = np.zeros(n, bool), int(deepest[:, q].max())
-            past = [None] * self.trees
-            top, count = np.zeros(0), 0
+            past: list[tuple[int, int] | None] = [None] * self.trees
+            rows, products, top = [], [], np.zeros(0)
+            count = 0
             while True:
                 low, high = ranges(x)
-                fresh = np.zeros(n, bool)
+                parts = []
                 for t in np.flatnonzero(deepest[:, q] >= x).tolist():
-                    a, b = low[t, q], high[t, q]
+                    a, b = int(low[t, q]), int(high[t, q])
                     if past[t] is None:
-                        fresh[self.order[t][a:b]] = True
+                        parts.append(self.order[t][a:b])
                     else:  # only what the shorter prefix adds on either side
-                        fresh[self.order[t][a : past[t][0]]] = True
-                        fresh[self.order[t][past[t][1] : b]] = True
+                        parts += [self.order[t][a : past[t][0]], self.order[t][past[t][1] : b]]
                     past[t] = (a, b)
-                rows = np.flatnonzero(fresh & ~found)
-                found[rows] = True
-                count += rows.size
+                fresh = np.concatenate(parts)
+                fresh = np.unique(fresh[~found[fresh]])
+                found[fresh] = True
+                count += fresh.size
+                rows.append(fresh)
+                products.append(self.vectors[fresh] @ queries[q])
                 if x == 0 or count == n:
                     break
-                top = np.concatenate([top, product[rows] / size[rows]])
+                top = np.concatenate([top, products[-1]])
                 if top.size > k:
                     top = np.partition(top, top.size - k)[top.size - k :]
                 if count >= max(enough, k):
-                    near = 1 - np.arccos(np.clip(top.min() / norms[q], -1, 1)) / np.pi
+                    near = 1 - np.arccos(np.clip(top.min() / (norms[q] * self.length), -1, 1)) / np.pi
                     if (1 - near**x) ** self.trees <= miss:
                         break
                 x -= 1
-            rows = np.flatnonzero(found)
-            yield rows, product[rows]
+            yield np.concatenate(rows), np.concatenate(products)
 
 
 def exact_scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -141,7 +148,7 @@ def nearest(
     v = project(rows, id=id_col, v=vector_col).filter("id is not null and v is not null")
     fit = (F.size("v") == dim) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))) & F.exists("v", lambda x: x != 0)
     v = materialise(v.filter(fit).select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")), "vectors")
-    asked = v.filter(F.col("id") % every == 0)
+    asked = v.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
     n, n_asked = v.count(), asked.count()
     blocks, chunks = max(1, -(-n // block_rows)), max(1, -(-n_asked // chunk_queries))
     # dealt by a hash of the id: no block holds much more than its share
