@@ -90,8 +90,8 @@ def op7_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_rake_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mix(_table(spark, sf_dir, "documents"))
-    return out.select(F.col("row.doc_id").alias("doc_id"), "source_class", "lang_class", "topic_class", "tokens", "weight", "probability", "sampled")
+    out = mixing.mix(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return out.select(F.col("row.doc_id").alias("doc_id"), *(f"{d}_{x}" for x in ("class", "target") for d in mixing.TARGETS), "tokens", "weight", "probability", "sampled")
 
 
 def op9_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
