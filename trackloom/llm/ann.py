@@ -49,12 +49,13 @@ class Forest:
         self.length = float(np.sqrt(squares.max()))
         raised = np.column_stack([vectors, np.sqrt(np.maximum(0, squares.max() - squares))])
         self.planes = np.random.default_rng(seed).standard_normal((trees, vectors.shape[1] + 1, bits))
-        self.order, self.keys = [], []
+        self.scaled = (vectors / self.length).astype(np.float32)
+        order, self.keys = [], []
         for t in range(trees):
             keys = self.strings(raised, t)
-            order = np.argsort(keys, kind="stable")
-            self.order.append(order)
-            self.keys.append(keys[order])
+            order.append(np.argsort(keys, kind="stable"))
+            self.keys.append(keys[order[-1]])
+        self.order = np.concatenate(order).astype(np.int32)  # one tree after the other
 
     def strings(self, raised: np.ndarray, tree: int) -> np.ndarray:
         """Hash strings of up to 64 bits, the first bit most significant."""
@@ -63,7 +64,7 @@ class Forest:
         return (up * weights).sum(axis=1, dtype=np.uint64)
 
     def search(self, queries: np.ndarray, k: int, enough: int, miss: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each query its candidates, as row numbers, and their rough products."""
+        """For each query its candidates, as row numbers, and their rough products with it at length 1 (errors under ``ROUGH``)."""
         raised = np.column_stack([queries, np.zeros(len(queries))])
         strings = [self.strings(raised, t) for t in range(self.trees)]
         n, full = len(self.vectors), np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -86,41 +87,45 @@ class Forest:
                 bounds[x] = low, high
             return bounds[x]
 
-        norms = np.linalg.norm(queries, axis=1)
+        units = (queries / np.linalg.norm(queries, axis=1, keepdims=True)).astype(np.float32)
+        first = np.arange(self.trees) * n
         for q in range(len(queries)):
             found, x = np.zeros(n, bool), int(deepest[:, q].max())
-            past: list[tuple[int, int] | None] = [None] * self.trees
-            rows, products, top = [], [], np.zeros(0)
+            begin, end, begun = np.zeros(self.trees, np.int64), np.zeros(self.trees, np.int64), np.zeros(self.trees, bool)
+            rows, products, top = [], [], np.zeros(0, np.float32)
             count = 0
             while True:
-                low, high = ranges(x)
-                parts = []
-                for t in np.flatnonzero(deepest[:, q] >= x).tolist():
-                    a, b = int(low[t, q]), int(high[t, q])
-                    if past[t] is None:
-                        parts.append(self.order[t][a:b])
-                    else:  # only what the shorter prefix adds on either side
-                        parts += [self.order[t][a : past[t][0]], self.order[t][past[t][1] : b]]
-                    past[t] = (a, b)
-                fresh = np.concatenate(parts)
-                fresh = np.unique(fresh[~found[fresh]])
-                found[fresh] = True
+                low, high = (r[:, q] for r in ranges(x))
+                on = deepest[:, q] >= x
+                # what the shorter prefix adds on either side; all of it where a tree joins in
+                left, right = np.where(begun, begin, low), np.where(begun, end, low)
+                start, stop = np.concatenate([(low + first)[on], (right + first)[on]]), np.concatenate([(left + first)[on], (high + first)[on]])
+                size = stop - start
+                at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+                before = found.copy()
+                found[self.order[at]] = True
+                fresh = np.flatnonzero(found ^ before)
+                begin, end, begun = np.where(on, low, begin), np.where(on, high, end), begun | on
                 count += fresh.size
                 rows.append(fresh)
-                products.append(self.vectors[fresh] @ queries[q])
+                products.append(self.scaled[fresh] @ units[q])
                 if x == 0 or count == n:
                     break
                 top = np.concatenate([top, products[-1]])
                 if top.size > k:
                     top = np.partition(top, top.size - k)[top.size - k :]
                 if count >= max(enough, k):
-                    near = 1 - np.arccos(np.clip(top.min() / (norms[q] * self.length), -1, 1)) / np.pi
+                    near = 1 - np.arccos(np.clip(float(top.min()), -1, 1)) / np.pi
                     if (1 - near**x) ** self.trees <= miss:
                         break
                 x -= 1
             yield np.concatenate(rows), np.concatenate(products)
 
 
+#: No rough product of vectors of at most length 1, in single precision, is wrong by more.
+ROUGH = 1e-4
+
+
 def exact_scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Inner products in double precision, one component after the other."""
     out = np.zeros(len(vectors))
@@ -130,10 +135,10 @@ def exact_scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
 
 
 def best(ids: np.ndarray, vectors: np.ndarray, query: np.ndarray, k: int, rough: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of ``rows`` by (score falling, id rising); rows whose rough product can't reach the k-th are left out first."""
+    """The k best of ``rows`` by (score falling, id rising); rows whose rough product (of vectors scaled to lengths of at most 1) can't reach the k-th are left out first."""
     if ids.size > k:
         floor = np.partition(rough, ids.size - k)[ids.size - k]
-        keep = rough >= floor - 1e-9 * (1 + np.abs(rough).max())
+        keep = rough >= floor - 2 * ROUGH
         ids, rows = ids[keep], rows[keep]
     score = exact_scores(vectors[rows], query)
     order = np.lexsort((ids, -score))[:k]
