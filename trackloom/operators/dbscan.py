@@ -23,10 +23,6 @@ from .graph import components
 from .neighbors import eps_edges, max_abs_lat, neighbor_counts
 
 
-#: Links between cells that the driver may join (a few MB); beyond it rounds run on the cluster.
-FEW_LINKS = 100_000
-
-
 def core_points(points: DataFrame, eps: float, min_samples: int, metric: str = "euclidean", edges: DataFrame | None = None) -> DataFrame:
     return neighbor_counts(points, eps, metric, edges).withColumn("is_core", F.col("n_neighbors") >= min_samples)
 
@@ -54,7 +50,7 @@ def from_edges(points: DataFrame, edges: DataFrame, eps: float, min_samples: int
     core = materialise(placed.join(nodes, ["cx", "cy"]).select("pt_id", "node"), "core")
     to_node = lambda side: core.select(F.col("pt_id").alias(side), F.col("node").alias(f"n{side}"))
     half = edges.filter("i < j").join(to_node("i"), "i").join(to_node("j"), "j").filter("ni <> nj").select(F.col("ni").alias("a"), F.col("nj").alias("b")).distinct()
-    roots = components(half, FEW_LINKS)
+    roots = components(half)
     member = core.join(roots, core.node == roots.node, "left").select("pt_id", F.coalesce("root", core.node).alias("root"))
     return _labelled(points, materialise(member, "members"), edges)
 
@@ -100,13 +96,13 @@ def dbscan(points: DataFrame, eps: float, min_samples: int = 5, metric: str = "e
         apart = gap("lat") > eps / METRES_PER_DEGREE * (1 + 1e-9)
     near = a.join(b, ["cx", "cy"]).filter(~apart).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), (distance(metric, p["lat"], p["lon"], q["lat"], q["lon"]) <= eps).alias("sure"))
     near = materialise(near, "cell-pairs")
-    first = materialise(cells.select("node").join(components(near.filter("sure").select("a", "b"), FEW_LINKS).withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", F.coalesce("root", "node").alias("root")), "sure")
+    first = materialise(cells.select("node").join(components(near.filter("sure").select("a", "b")).withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", F.coalesce("root", "node").alias("root")), "sure")
     of = lambda c: first.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
     open_ = near.filter("not sure").join(of("a"), "a").join(of("b"), "b").filter("ra <> rb")
     at = core.join(cells.select("cx", "cy", "node"), ["cx", "cy"]).select("node", "lat", "lon")
     ends = lambda c, k: at.select(F.col("node").alias(c), F.col("lat").alias(f"lat{k}"), F.col("lon").alias(f"lon{k}"))
     met = open_.join(ends("a", 1), "a").join(ends("b", 2), "b").filter(distance(metric, F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")) <= eps)
-    second = components(met.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), FEW_LINKS)
+    second = components(met.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
     roots = first.join(second.select(F.col("node").alias("n"), F.col("root").alias("whole")), F.col("root") == F.col("n"), "left").select("node", F.coalesce("whole", "root").alias("root"))
     member = core.join(cells.select("cx", "cy", "node"), ["cx", "cy"]).join(roots, "node").select("pt_id", "root")
     return _labelled(points, materialise(member, "members"), edges)

@@ -8,33 +8,15 @@ from pyspark.sql import functions as F
 from ..work import discard, materialise
 
 
-def _few(links: DataFrame) -> DataFrame:
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (up := root.setdefault(x, x)) != x:
-            root[x] = root[up]
-            x = root[x]
-        return x
-
-    for a, b in zip(*(links.toArrow().column(c).to_pylist() for c in ("a", "b")), strict=True):
-        a, b = sorted((find(a), find(b)))
-        root[b] = a
-    return links.sparkSession.createDataFrame([(x, find(x)) for x in root if find(x) != x], "node long, root long")
-
-
-def components(edges: DataFrame, few: int = 0) -> DataFrame:
-    """node, root: the least node of each node's component, from links (a, b) of long nodes.
+def components(edges: DataFrame) -> DataFrame:
+    """node, root: the least node of each node's component, from links (a, b) of nodes that can be ordered.
 
     Nodes that are their own root have no row. Each round is a written table, so a lost
     executor costs one round; a round's work is a few shuffles of the remaining links.
-    At most ``few`` distinct links, counted first, are joined on the driver instead.
     """
     now = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     mark = lambda x: x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     old = mark(now)
-    if old[0] <= few:
-        return _few(now)
     while True:
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("x"), F.least("a", "m").alias("m"))
