@@ -14,9 +14,6 @@ from trackloom.llm import langid, mixing, packing, sanitise, simhash
 from trackloom.llm.common import materialise
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Near copies of similarity 0.8 and more lie beyond the two bits of the operator's own query; four catch
-#: those that differ in few words, and unrelated texts of the test data are six bits apart or more.
-COPY_BITS = 4
 #: A document goes if it has no letter or no language reaches this pooled probability (four languages: chance is 0.25).
 LEAST_LANGUAGE_SCORE = 0.35
 
@@ -29,8 +26,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies."""
-    return simhash.representatives(docs.select(*COLUMNS), bits=COPY_BITS)
+    """One document of each class of near copies (five-word shingles, similarity 0.8)."""
+    return simhash.representatives(docs.select(*COLUMNS))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
