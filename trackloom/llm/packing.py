@@ -3,8 +3,13 @@
 A level array counts the partly filled windows at each fill. A document's full windows
 leave at once; what remains is put at the fill where the sum of squared counts after the
 move is smallest (Csirik et al.). Windows that are still partly filled when a partition
-ends, or when too many are open, are cut together again: full windows, and a tail cut at
-powers of two, which need no padding. One pass over the scan, no shuffle.
+ends are not closed there: their pieces are placed once more by the same rule, longest
+first, together with those of other partitions in tasks of about ``pooled`` ids, and what is
+then still open again, until a round closes less than a tenth of it. Only those last pieces
+of such a task are cut: full windows, and a tail cut at powers of two, which need no padding.
+Pieces are written once between the two passes; no document is shuffled, only open pieces.
+
+A task holds the ids of its open windows: at most those of its split, or ``pooled``.
 
 Nulls: null text is the empty text (its end id alone); null ids are carried. Repeated
 rows are packed once each. Empty input gives no rows. Extra columns are not read.
@@ -18,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import project
+from .common import materialise, project
 from .tokens import encoder
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -28,8 +34,8 @@ SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 class SumOfSquares:
     """Online packer; ``emit`` gets (window id, [(document, start, ids, document's ids)])."""
 
-    def __init__(self, window: int = 2048, most_open: int = 4096, first_id: int = 0):
-        self.window, self.most_open, self.next_id = window, most_open, first_id
+    def __init__(self, window: int = 2048, first_id: int = 0):
+        self.window, self.next_id = window, first_id
         self.levels = np.zeros(window + 1, np.int64)
         self.open: dict[int, list[list]] = {}
         self.ready: list[tuple[int, list]] = []
@@ -69,59 +75,69 @@ class SumOfSquares:
         else:
             self.levels[h + size] += 1
             self.open.setdefault(h + size, []).append(pieces)
-            if self.levels.sum() > self.most_open:
-                self.drain(last=False)
 
-    def drain(self, last: bool = True) -> None:
-        """Cut the open windows' pieces into full windows; at the end also the tail, at powers of two."""
+    def left(self) -> list[tuple]:
+        """The pieces of all open windows, which are given up."""
         pieces = [p for h in sorted(self.open, reverse=True) for w in self.open[h] for p in w]
         self.open, self.levels[:] = {}, 0
+        return pieces
+
+    def again(self) -> None:
+        """Place the pieces of the open windows once more, longest first, while that closes a tenth of them."""
+        size = lambda: sum(h * len(w) for h, w in self.open.items())
+        while before := size():
+            for piece in sorted(self.left(), key=lambda p: -p[2].size):
+                self._place(piece)
+            if size() > 0.9 * before:
+                break
+
+    def drain(self) -> None:
+        """Cut the open windows' pieces into full windows and the tail at powers of two."""
+        pieces = self.left()
         left = sum(p[2].size for p in pieces)
         room, now = 0, []
         for doc, start, ids, total in pieces:
             while ids.size:
                 if not room:
-                    room = self.window if left >= self.window else (1 << (left.bit_length() - 1) if last else left)
-                    goal = room
+                    room = self.window if left >= self.window else 1 << (left.bit_length() - 1)
                 take = min(room, ids.size)
                 now.append((doc, start, ids[:take], total))
                 ids, start, room, left = ids[take:], start + take, room - take, left - take
-                if not room and (last or goal == self.window):
+                if not room:
                     self._close(now)
                     now = []
-        if now:
-            size = sum(p[2].size for p in now)
-            self.levels[size] += 1
-            self.open[size] = [now]
 
     def take(self) -> list[tuple[int, list]]:
         done, self.ready = self.ready, []
         return done
 
 
-def _rows(done: list[tuple[int, list]]) -> pa.RecordBatch:
+_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+_NAMES = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+
+
+def _rows(done: list[tuple[int | None, list]]) -> pa.RecordBatch:
     cols: list[list] = [[] for _ in range(7)]
     for seq, pieces in done:
         at = 0
         for doc, start, ids, total in pieces:
-            for c, v in zip(cols, (doc, start, ids.size, ids.tobytes(), total, seq, at), strict=True):
+            for c, v in zip(cols, (doc, start, ids.size, ids.tobytes(), total, seq, at if seq is not None else None), strict=True):
                 c.append(v)
             at += ids.size
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _KINDS, strict=True)], names=_NAMES)
 
 
-def pack(docs: DataFrame, tokenizer: str, *, window: int = 2048, end_id: int = 1, most_open: int = 4096, keep_memo: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, window: int = 2048, end_id: int = 1, pooled: int = 1 << 23, keep_memo: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of all documents in their windows: one row a piece, ``ids`` as little-endian uint32.
 
-    ``most_open`` bounds the ids a task holds (most_open windows at most); it only decides
-    when open windows are cut together. ``keep_memo`` leaves a worker's remembered pieces to its
-    next task; without it their memory is free for other work after each task.
+    ``pooled`` ids of open windows meet in a task of the second pass, about. ``keep_memo``
+    leaves a worker's remembered pieces to its next task; without it their memory is free for
+    other work after each task.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        packer = SumOfSquares(window, most_open, TaskContext.get().partitionId() << 40)
+        packer = SumOfSquares(window, TaskContext.get().partitionId() << 40)
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
@@ -129,9 +145,22 @@ def pack(docs: DataFrame, tokenizer: str, *, window: int = 2048, end_id: int = 1
                 for doc, raw in zip(part.column(0).to_pylist(), enc.encode_many(texts), strict=True):
                     packer.add(doc, np.frombuffer(raw + end, "<u4"))
                 yield _rows(packer.take())
-        packer.drain()
-        yield _rows(packer.take())
+        yield _rows([(None, packer.left())])
         if not keep_memo:
             enc.memo.clear()
 
-    return project(docs, doc_id=id_col, text=text_col).mapInArrow(run, SCHEMA)
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = SumOfSquares(window, 1 << 60 | TaskContext.get().partitionId() << 40)
+        for batch in batches:
+            for doc, start, raw, total in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "ids", "doc_tokens")), strict=True):
+                packer._place((doc, start, np.frombuffer(raw, "<u4"), total))
+            yield _rows(packer.take())
+        packer.again()
+        packer.drain()
+        yield _rows(packer.take())
+
+    placed = materialise(project(docs, doc_id=id_col, text=text_col).mapInArrow(first, SCHEMA), "pieces")
+    open_ = placed.filter("sequence_id is null")
+    tasks = max(1, -(-(open_.agg(F.sum("length")).first()[0] or 0) // pooled))
+    longest = open_.repartition(tasks).sortWithinPartitions(F.col("length").desc(), "doc_id", "start")
+    return placed.filter("sequence_id is not null").unionByName(longest.mapInArrow(second, SCHEMA))
