@@ -13,7 +13,8 @@ in fewer than ``least_support`` documents, p(e | t) is drawn towards p(e) as if
 documents have their terms.
 
 Document frequencies are counted over all documents, for terms whose checksum falls in a
-bucket of some candidate; the bucket table has a fixed size and only saves work.
+bucket of some candidate. The bucket table has sixteen bits a candidate, 8 MB at most, and only
+saves work: beyond ``MOST_CANDIDATES`` every term is counted.
 
 Nulls: null text is the empty text; null ids are carried. Repeated rows have their spans
 each. Empty input gives no rows. Documents without personal data keep their text. Extra
@@ -45,7 +46,8 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\W_]+")
-BUCKETS = 1 << 20
+#: Candidate terms for which a bucket table is made: 2^22, so 2^26 bits.
+MOST_CANDIDATES = 1 << 22
 
 
 def _luhn(digits: str) -> bool:
@@ -153,13 +155,20 @@ def find(docs: DataFrame, *, reach: int = 8, least_support: int = 3, prior: floa
     met = scanned.select(F.explode("near").alias("x")).select("x.e", "x.t", "x.ctx").groupBy("e", "t").agg(F.count("*").alias("n"), F.min("ctx").alias("c1"), F.max("ctx").alias("c2"))
     met = met.select("e", "t", "n", F.when(F.col("c1") == F.col("c2"), 1).otherwise(F.col("n")).alias("m"))
     pairs = materialise(met.join(often, "e").select("e", "t", "n", "m", "n_e"), "pairs")
-    used = [r[0] for r in pairs.select((F.crc32(F.col("t").cast("binary")) % BUCKETS).cast("int").alias("b")).distinct().collect()]  # at most BUCKETS
-    table = np.zeros(BUCKETS, bool)
-    table[used] = True
+    terms = materialise(pairs.select("t").distinct(), "terms")
+    n_terms = terms.count()
+    buckets = 1 << max(20, (16 * min(n_terms, MOST_CANDIDATES)).bit_length())
+    if n_terms <= MOST_CANDIDATES:
+        used = terms.select((F.crc32(F.col("t").cast("binary")) % buckets).cast("int").alias("b")).toArrow().column(0).to_numpy()
+        table = np.zeros(buckets, bool)
+        table[used] = True
+    else:
+        table = np.ones(buckets, bool)
+    table = np.packbits(table, bitorder="little")
     shared = spark.sparkContext.broadcast(table)
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, n = shared.value, Counter()
+        table, n = shared.value.tobytes(), Counter()
         known: dict[str, bool] = {}
 
         def out() -> pa.RecordBatch:
@@ -172,7 +181,8 @@ def find(docs: DataFrame, *, reach: int = 8, least_support: int = 3, prior: floa
                     if hit is None:
                         if len(known) > 500_000:
                             known.clear()
-                        hit = known[t] = bool(table[zlib.crc32(t.encode()) % BUCKETS])
+                        at = zlib.crc32(t.encode()) % buckets
+                        hit = known[t] = bool(table[at >> 3] >> (at & 7) & 1)
                     if hit:
                         n[t] += 1
             if len(n) > 1_000_000:
@@ -180,8 +190,8 @@ def find(docs: DataFrame, *, reach: int = 8, least_support: int = 3, prior: floa
                 n.clear()
         yield out()
 
-    if used:
-        df = rows.select("text").mapInArrow(frequency, "t string, df long").groupBy("t").agg(F.sum("df").alias("df"))
+    if n_terms:
+        df = rows.select("text").mapInArrow(frequency, "t string, df long").groupBy("t").agg(F.sum("df").alias("df")).join(terms, "t", "left_semi")
     else:
         df = spark.createDataFrame([], "t string, df long")
     seen = F.greatest(F.coalesce("df", "n"), F.col("n"))
