@@ -362,6 +362,37 @@ def wide_links(distinct: DataFrame, wide: Wide = Wide(), most: int = MOST, held:
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a binary, b binary")
 
 
+def forest(linked: DataFrame, held: int = 500_000) -> DataFrame:
+    """Fewer links (a, b) with the same components: a member met in many lists keeps one link a task.
+
+    ``held`` links are joined at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[bytes, bytes] = {}
+
+        def find(x: bytes) -> bytes:
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = up[y]
+                x = up[x]
+            return x
+
+        def out() -> pa.RecordBatch:
+            rows = [(x, r) for x in list(up) if (r := find(x)) != x]
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = sorted((find(a), find(b)))
+                up[b] = a
+            if len(up) > held:
+                yield out()
+                up.clear()
+        yield out()
+
+    return linked.repartition("a").mapInArrow(run, "a binary, b binary")
+
+
 def representatives(docs: DataFrame, *, wide: Wide = Wide(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of each class of near copies the one with the least id (null ids last), once."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
@@ -377,7 +408,7 @@ def representatives(docs: DataFrame, *, wide: Wide = Wide(), id_col: str = "doc_
     texts = docs.select(known[0], F.col(f"`{text_col}`").cast("string").alias("text"), *known[1:])
     fps = materialise(texts.mapInArrow(run, "doc_id long, fp binary, h1 long, h2 long"), "fingerprints")
     distinct = materialise(fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h1", "h2")).alias("first")), "distinct")
-    rooted = _rooted(distinct, wide_links(distinct, wide))
+    rooted = _rooted(distinct, forest(wide_links(distinct, wide)))
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(*[F.col(f"first.{c}").alias(f"_k{i}") for i, c in enumerate(("doc_id", "h1", "h2"))])
     keyed = docs.select(F.struct(*columns).alias("row"), *[c.alias(f"_r{i}") for i, c in enumerate(known)])
     same = keyed.join(kept, F.col("_r0").eqNullSafe(F.col("_k0")) & (F.col("_r1") == F.col("_k1")) & (F.col("_r2") == F.col("_k2")), "left_semi")
