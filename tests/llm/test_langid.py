@@ -65,3 +65,12 @@ def test_one_language(spark):
     df = spark.createDataFrame([(1, "only one", "xx"), (2, None, "xx"), (3, "other", None)], "doc_id long, text string, lang string")
     got = {r["doc_id"]: (r["lang_pred"], round(r["score"], 6)) for r in langid.predict(df, langid.train(df, steps=2)).collect()}
     assert got == {1: ("xx", 1.0), 2: ("und", 0.0), 3: ("xx", 1.0)}
+
+
+def test_very_long_text_and_many_labels(spark):
+    """More than 64 labels are learned, and a text of megabytes is labelled whole."""
+    rows = [(i, f"{chr(97 + i % 26)}{i % 70} " * 40, f"l{i % 70}") for i in range(140)]
+    df = spark.createDataFrame([*rows, (999, "only one long text " * 150_000, None)], "doc_id long, text string, lang string")
+    model = langid.train(df, steps=2, per_lang=2)
+    assert len(model.langs) == 70
+    assert langid.predict(df.filter("doc_id = 999"), model).first()["score"] > 0

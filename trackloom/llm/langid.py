@@ -2,8 +2,8 @@
 
 Training is by backpropagation through time (Adam) on the driver, on a bounded sample of
 labelled documents: ``per_lang`` documents of each language, those with the least hash of
-id and text, and ``cuts`` windows of ``window`` bytes from each. The languages are the
-``most_langs`` most frequent labels at most. Everything else covers whole texts: every
+id and text, and ``cuts`` windows of ``window`` bytes from each, at hashed places of the whole
+text. Every label is a language. Everything else covers whole texts: every
 byte position of every text gets a probability of each language, in windows that overlap
 by ``warm`` bytes on either side so that each position has context, and a document's
 probability is the mean over its positions.
@@ -175,14 +175,13 @@ class BiGRU:
         return sums / np.maximum(1, sizes)[:, None]
 
 
-def train(labelled: DataFrame, *, per_lang: int = 300, cuts: int = 4, window: int = 48, most_chars: int = 20_000, most_langs: int = 64, hidden: int = 8, steps: int = 220, batch: int = 96, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> BiGRU | None:
-    """A network fitted on at most ``per_lang`` documents of each of ``most_langs`` languages.
+def train(labelled: DataFrame, *, per_lang: int = 300, cuts: int = 4, window: int = 48, hidden: int = 8, steps: int = 220, batch: int = 96, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> BiGRU | None:
+    """A network fitted on at most ``per_lang`` documents of each language: ``cuts`` windows of each reach the driver, not texts.
 
-    Of a sampled document ``cuts`` windows within its first ``most_chars`` characters are used.
     None if there is no labelled row with text.
     """
     rows = project(labelled, doc_id=id_col, text=text_col, lang=lang_col).filter("lang is not null and length(text) > 0")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(most_langs).collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     langs = sorted(counts)
     if not langs:
         return None
@@ -193,12 +192,13 @@ def train(labelled: DataFrame, *, per_lang: int = 300, cuts: int = 4, window: in
     top = some.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("deal"))).filter(F.col("rank") <= per_lang)
     chosen = {(r["lang"], r["deal"]) for r in top.select("lang", "deal").collect()}
     wanted = sorted({d for _, d in chosen})
-    got = rows.withColumn("deal", deal).filter(F.col("deal").isin(wanted)).select("lang", "deal", F.substring("text", 1, most_chars).alias("text")).distinct().collect()
-    seq, y, rng = [], [], np.random.default_rng(7)
-    for lang, text in sorted((r["lang"], r["text"]) for r in got if (r["lang"], r["deal"]) in chosen and r["lang"] in langs):
-        raw = np.frombuffer(text.encode() + b"\n" * window, np.uint8)
-        for at in rng.integers(0, max(1, raw.size - 2 * window), cuts):
-            seq.append(raw[at : at + window])
+    place = lambda k: F.pmod(F.xxhash64("deal", F.lit(k)), F.greatest(F.lit(1), F.length("text") - window)).cast("int") + 1
+    windows = F.array(*[F.substring(F.col("text"), place(k), F.lit(window)) for k in range(cuts)])
+    got = rows.withColumn("deal", deal).filter(F.col("deal").isin(wanted)).select("lang", "deal", windows.alias("windows")).distinct().collect()
+    seq, y = [], []
+    for lang, parts in sorted((r["lang"], tuple(r["windows"])) for r in got if (r["lang"], r["deal"]) in chosen):
+        for part in parts:
+            seq.append(np.frombuffer((part.encode() + b"\n" * window)[:window], np.uint8))
             y.append(langs.index(lang))
     model = BiGRU(langs, hidden)
     y = np.array(y)
