@@ -7,7 +7,9 @@ least ``least_count`` times in training, and is retained if its next-symbol dist
 diverges from that of its suffix by at least ``least_divergence`` nats; suffixes of
 retained contexts are kept with them. So the tree grows with the corpus.
 (``least_share`` asks for a share of the training symbols besides, 0 by default.)
-Distributions are smoothed towards the suffix's (Witten and Bell), down to the uniform one.
+Distributions are smoothed towards the suffix's, down to the uniform one, by the number of
+kinds of symbols seen (Witten and Bell), ``DRAWN`` times as strongly: contexts that stand in
+copied text look surer than they are.
 Each symbol is scored in the state of the longest retained suffix of what stands before it.
 
 Only contexts of up to ``TOP`` symbols, bounded by the alphabet, are collected whole. The
@@ -94,6 +96,8 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(both[: both.size // 2].view(np.uint64), dtype=np.uint64), both[both.size // 2 :]
 
 
+#: How strongly a distribution is drawn to its suffix's: as if so many symbols a kind seen had come from there.
+DRAWN = 4
 #: Contexts up to so many symbols are collected; the nearest two symbols name a shard.
 TOP = 2
 
@@ -159,7 +163,7 @@ def _judged(code: np.ndarray, n: np.ndarray, lengths: range, above: tuple[np.nda
             above, told = (key, np.zeros(0)), np.zeros(0, bool)
         else:
             below = above[1][np.searchsorted(above[0], key & np.uint64(_near(k - 1) | 255))] if k else np.full(key.size, 1 / 256)
-            total, kinds = np.repeat(np.add.reduceat(m, first), size), np.repeat(size + 1, size)
+            total, kinds = np.repeat(np.add.reduceat(m, first), size), np.repeat(DRAWN * (size + 1), size)
             gap = np.add.reduceat(m / total * np.log(m / total / below), first)
             told = np.repeat((gap >= least_divergence) | (k == 0), size)
             above = key, (m + kinds * below) / (total + kinds)
@@ -190,7 +194,7 @@ class Levels:
 
     def _add(self, length: int, keys: np.ndarray, m: np.ndarray) -> None:
         first, size = _groups(keys)
-        self.levels.append((length, keys[first] & np.uint64(_near(length)), np.add.reduceat(m, first) if m.size else m, size + 1, keys, m))
+        self.levels.append((length, keys[first] & np.uint64(_near(length)), np.add.reduceat(m, first) if m.size else m, DRAWN * (size + 1), keys, m))
 
     def __getstate__(self) -> list[tuple[int, bytes]]:
         return [(x[0], _packed(*x[4:])) for x in self.levels]
@@ -237,7 +241,7 @@ class Tree:
         return np.log10(p)[at]
 
 
-def grow(texts: DataFrame, *, depth: int = 5, least_share: float = 0.0, least_count: int = 4, least_divergence: float = 0.005, shard: int = 2_000_000, most: int = 1_000_000) -> Tree:
+def grow(texts: DataFrame, *, depth: int = 6, least_share: float = 0.0, least_count: int = 4, least_divergence: float = 0.005, shard: int = 2_000_000, most: int = 1_000_000) -> Tree:
     """The tree of the training ``texts`` (column text)."""
     if not 0 <= depth <= 7:
         raise ValueError("depth must be 0 to 7")
@@ -285,7 +289,7 @@ def grow(texts: DataFrame, *, depth: int = 5, least_share: float = 0.0, least_co
     return Tree(top, shards, states + sum(x[1].size for x in top.levels))
 
 
-def score(docs: DataFrame, train: Column, *, depth: int = 5, least_share: float = 0.0, least_divergence: float = 0.005, chunk_docs: int = 2000, most_symbols: int = 1 << 22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, train: Column, *, depth: int = 6, least_share: float = 0.0, least_divergence: float = 0.005, chunk_docs: int = 2000, most_symbols: int = 1 << 22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score, score of every document.
 
     ``train`` says from ``doc_id`` whether a row is learned from. About ``most_symbols``
