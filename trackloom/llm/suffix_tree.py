@@ -122,8 +122,8 @@ def count_windows(texts: DataFrame, depth: int, buckets: int, most: int = 4_000_
                 yield pa.RecordBatch.from_arrays([pa.array(at[order][first], pa.int32()), pa.array(blobs, pa.binary()), *none], schema=schema)
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                words = [words_of(t) for t in batch.column(0).slice(a, 1000).to_pylist()]
+            for a in range(0, batch.num_rows, 250):
+                words = [words_of(t) for t in batch.column(0).slice(a, 250).to_pylist()]
                 symbols, first = _stream(words, depth)
                 code = windows(symbols, _scored(first, symbols.size, depth), depth)
                 for c in range(0, code.size, most):
@@ -289,7 +289,7 @@ def grow(texts: DataFrame, *, depth: int = 5, least_share: float = 0.0, least_co
     return Tree(top, shards, states + sum(x[1].size for x in top.levels))
 
 
-def score(docs: DataFrame, train: Column, *, depth: int = 5, least_share: float = 0.0, least_divergence: float = 0.005, chunk_docs: int = 2000, most_symbols: int = 1 << 22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, train: Column, *, depth: int = 5, least_share: float = 0.0, least_divergence: float = 0.005, chunk_docs: int = 2000, most_symbols: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score, score of every document.
 
     ``train`` says from ``doc_id`` whether a row is learned from. About ``most_symbols``
