@@ -138,3 +138,25 @@ def test_streams(spark, tmp_path):
         q.stop()
     assert sorted(r["n"] for r in spark.sql("select * from hours").collect()) == [1, 1, 2]
     assert spark.sql("select * from clean").count() == 4
+
+
+def test_call_tree_and_consumers(spark):
+    from trackloom.operators import perf
+
+    calls = spark.createDataFrame([("main", None, 9.0), ("load", "main", 4.0), ("load", "main", 1.0), ("parse", "load", 2.0), ("main", "parse", 1.0)], "function string, caller string, seconds double")
+    got = {tuple(r["path"]): (r["depth"], r["seconds"], r["n_calls"]) for r in perf.call_tree(calls).collect()}
+    assert got == {("main",): (1, 9.0, 1), ("main", "load"): (2, 5.0, 2), ("main", "load", "parse"): (3, 2.0, 1)}
+    grown = spark.createDataFrame([("a", 5.0), ("a", 7.0), ("b", 1.0)], "function string, mb double")
+    assert [tuple(r) for r in perf.memory_consumers(grown, 2.0).collect()] == [("a", 6.0)]
+
+
+def test_load_sampled(spark, tmp_path):
+    from trackloom.sources import gps
+
+    for k in range(3):
+        lines = [f"{k},2008-02-02 {15 + i // 60:02}:{i % 60:02}:00,{116.3 + i * 0.001},39.9" for i in range(90)]
+        (tmp_path / f"{k}.csv").write_text("\n".join(lines))
+    whole = gps.load_sampled(spark, str(tmp_path), 1.0)
+    assert whole.count() == 135  # every 120 s of 90 minutes, three taxis
+    some = gps.load_sampled(spark, str(tmp_path), 1.0, max_points=20)
+    assert some.count() == 20 and some.columns == whole.columns

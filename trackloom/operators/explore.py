@@ -136,6 +136,21 @@ def dataset_summary(points: DataFrame, stats: DataFrame) -> DataFrame:
     return p.crossJoin(t)  # one row each
 
 
+def spatial_summary(points: DataFrame, attribute: str | None = None) -> DataFrame:
+    """One row for a map: points, taxis, centre, bounds, and the range of an attribute."""
+    out = [F.count("*").alias("n_points"), F.count_distinct("taxi_id").alias("n_taxis"), F.avg("lat").alias("center_lat"), F.avg("lon").alias("center_lon")]
+    out += [f(c).alias(f"{n}_{c}") for c in ("lat", "lon", *([attribute] if attribute else [])) for n, f in (("min", F.min), ("max", F.max))]
+    return points.agg(*out)
+
+
+def data_quality(points: DataFrame, columns: list[str], kept: DataFrame) -> DataFrame:
+    """column, least, most, missing_pct by column, and the share of rows that cleaning kept (``kept``)."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])).alias("e")
+    n = points.select(each).groupBy("e.column").agg(F.min("e.x").alias("least"), F.max("e.x").alias("most"), (F.count_if(F.col("e.x").isNull()) / F.count("*") * 100).alias("missing_pct"), F.count("*").alias("n"))
+    share_kept = kept.agg(F.count("*").alias("k"))
+    return n.crossJoin(share_kept).select("column", "least", "most", "missing_pct", (F.col("k") / F.col("n") * 100).alias("retention_pct"))  # one row joined to few
+
+
 def chunk_ranges(n: int, chunk: int, spark) -> DataFrame:
     """start, stop of fixed-size index ranges."""
     return spark.range(0, max(0, -(-n // chunk))).select((F.col("id") * chunk).alias("start"), F.least((F.col("id") + 1) * chunk, F.lit(n)).alias("stop"))

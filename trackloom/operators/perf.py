@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..work import materialise
+
 
 def comparison(results: DataFrame) -> DataFrame:
     """Adds relative_speed, memory_efficiency and overall_score to (implementation, execution_time, memory_usage_mb, accuracy).
@@ -78,6 +80,39 @@ def memory_peaks(snapshots: DataFrame) -> DataFrame:
     return d.withColumn("is_peak", F.col("diff_mb") > F.avg("diff_mb").over(whole) + 2 * F.stddev_samp("diff_mb").over(whole))
 
 
+def memory_trend(snapshots: DataFrame) -> DataFrame:
+    """One row of (seq, mb): number, range, growth from first to last, and growth by step of seq."""
+    s = snapshots.agg(F.count("*").alias("n_snapshots"), F.min("mb").alias("least_mb"), F.max("mb").alias("most_mb"), (F.max_by("mb", "seq") - F.min_by("mb", "seq")).alias("growth_mb"), (F.max("seq") - F.min("seq")).alias("steps"))
+    return s.withColumn("growth_per_step", F.when(F.col("steps") > 0, F.col("growth_mb") / F.col("steps")).otherwise(0.0)).drop("steps")
+
+
+def memory_consumers(calls: DataFrame, threshold_mb: float) -> DataFrame:
+    """function, mb of (function, mb): the mean growth of functions over the threshold, largest first."""
+    return calls.groupBy("function").agg(F.avg("mb").alias("mb")).filter(F.col("mb") > threshold_mb).orderBy(F.col("mb").desc(), "function")
+
+
+def top_functions(calls: DataFrame, k: int = 10) -> DataFrame:
+    """function, seconds, n_calls: the k functions of most time, ties by name."""
+    t = calls.groupBy("function").agg(F.sum("seconds").alias("seconds"), F.count("*").alias("n_calls"))
+    return t.orderBy(F.col("seconds").desc(), "function").limit(k)
+
+
+def call_tree(calls: DataFrame, levels: int = 32) -> DataFrame:
+    """path, depth, seconds, n_calls of (function, caller, seconds): calls from roots (caller null) down, by path.
+
+    One join a level; a path ends where it would meet a function again.
+    """
+    edges = calls.groupBy("caller", "function").agg(F.sum("seconds").alias("seconds"), F.count("*").alias("n_calls"))
+    level = edges.filter("caller is null").select(F.array("function").alias("path"), "seconds", "n_calls")
+    out = level
+    for _ in range(levels):
+        level = materialise(level.select("path").join(edges.filter("caller is not null"), F.element_at("path", -1) == F.col("caller")).filter(~F.array_contains("path", F.col("function"))).select(F.array_append("path", F.col("function")).alias("path"), "seconds", "n_calls"), "calls")
+        if level.isEmpty():
+            break
+        out = out.union(level)
+    return out.select("path", F.size("path").alias("depth"), "seconds", "n_calls")
+
+
 def measure(spark: SparkSession, plans: dict[str, Callable[[], DataFrame]], repeats: int = 1) -> DataFrame:
     """implementation, repeat, seconds, n_rows: each plan run into the no-op sink."""
     rows = []

@@ -154,7 +154,7 @@ def preprocess_pipeline(spark, sf_dir):
     return out.select("taxi_id", "ts", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.round("speed", 3).alias("speed"))
 
 
-@query()
+@query(sql.PIPELINE_STATS)
 def preprocess_trajectory_stats(spark, sf_dir):
     return _stats_cols(preprocess.preprocess_stats(points(spark, sf_dir), PIPELINE))
 
@@ -275,7 +275,7 @@ def kd_partition(spark, sf_dir):
     return partition.kd_partition(points(spark, sf_dir), 8).select("partition_id", "pt_id")
 
 
-@query()
+@query(sql.PARTITION_MERGE)
 def partition_balance(spark, sf_dir):
     s = partition.partition_summary(partition.hash_partition(points(spark, sf_dir), 16, 0.1))
     total = s.agg(F.sum("n_points")).first()[0]
@@ -443,6 +443,38 @@ def memory_peaks(spark, sf_dir):
     return rounded(perf.memory_peaks(e.select(F.datediff("day", F.lit("1970-01-01")).cast("long").alias("seq"), F.round("mb", 3).alias("mb"))), mb=3, diff_mb=3)
 
 
+def _snapshots(spark, sf_dir):
+    e = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.sum("value").alias("mb"))
+    return e.select(F.datediff("day", F.lit("1970-01-01")).cast("long").alias("seq"), F.round("mb", 3).alias("mb"))
+
+
+def _valued(spark, sf_dir):
+    return points(spark, sf_dir).join(table(spark, sf_dir, "events").select(F.col("event_id").alias("pt_id"), "value"), "pt_id")
+
+
+@query(sql.MEMORY_TREND)
+def memory_trend(spark, sf_dir):
+    return rounded(perf.memory_trend(_snapshots(spark, sf_dir)), least_mb=3, most_mb=3, growth_mb=3, growth_per_step=6)
+
+
+@query(sql.CALLS_TOP)
+def top_functions(spark, sf_dir):
+    calls = table(spark, sf_dir, "events").select(F.col("event_type").alias("function"), F.col("value").alias("seconds"))
+    return rounded(perf.top_functions(calls, 3), seconds=3)
+
+
+@query(sql.SPATIAL)
+def spatial_summary(spark, sf_dir):
+    s = explore.spatial_summary(_valued(spark, sf_dir), "value")
+    return rounded(s, center_lat=6, center_lon=6, min_lat=6, max_lat=6, min_lon=6, max_lon=6, min_value=6, max_value=6)
+
+
+@query(sql.QUALITY)
+def data_quality(spark, sf_dir):
+    v = _valued(spark, sf_dir)
+    return rounded(explore.data_quality(v, ["lat", "lon", "value"], preprocess.remove_invalid(v)), least=6, most=6, missing_pct=4, retention_pct=4)
+
+
 @query(sql.TIMES)
 def timestamp_parse(spark, sf_dir):
     """Every event's time written in one of the accepted forms or in none, and read again."""

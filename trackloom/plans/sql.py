@@ -210,3 +210,21 @@ MEMORY = """WITH m AS (SELECT CAST(datediff('day', DATE '1970-01-01', ts::DATE)
 SELECT seq, round(mb,3) AS mb, round(x,3) AS diff_mb, x > avg(x) OVER ()+2*stddev_samp(x) OVER () AS is_peak FROM d"""
 TIMES = "SELECT event_id, CASE WHEN event_id%5 IN (0,1) THEN date_trunc('second', ts) WHEN event_id%5 IN (2,3) THEN date_trunc('minute', ts) END AS ts FROM events"
 SAMPLE = "SELECT event_id AS pt_id FROM events ORDER BY (event_id*48271)%2147483647, event_id LIMIT 500"
+_GRID_STATS = f"""{PIPELINE.rsplit("SELECT taxi_id, ts, round(lat,6)", 1)[0]},
+long_ AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY taxi_id) AS n2 FROM grid) WHERE n2>=5),
+hop AS (SELECT *, row_number() OVER w AS place, lag(lat) OVER w AS glat, lag(lon) OVER w AS glon FROM long_ WINDOW w AS (PARTITION BY taxi_id ORDER BY ts)),
+s0 AS (SELECT taxi_id, count(*) AS n_points, min(ts) AS start_time, max(ts) AS end_time, coalesce(sum({hav("glat", "glon", "lat", "lon")}),0) AS m, coalesce(avg(speed) FILTER (place>1),0) AS av, coalesce(max(speed) FILTER (place>1),0) AS mx,
+  (epoch_us(max(ts))-epoch_us(min(ts)))/1e6::DOUBLE AS secs FROM hop GROUP BY taxi_id)"""
+PIPELINE_STATS = f"""{_GRID_STATS} SELECT taxi_id, n_points, start_time, end_time, round(m/1000,3) AS total_distance_km, round(secs/3600,4) AS duration_hours, round(av*3.6,3) AS avg_speed_kmh, round(mx*3.6,3) AS max_speed_kmh,
+  round(CASE WHEN m>0 THEN n_points/(m/1000) ELSE 0 END,3) AS point_density_per_km, round(CASE WHEN secs>0 THEN n_points/(secs/3600) ELSE 0 END,3) AS sampling_rate_per_hour FROM s0"""
+PARTITION_MERGE = f"""{HASH_MEMBERS.replace("WITH ", "WITH RECURSIVE ", 1)}, sized AS (SELECT partition_id, n, row_number() OVER (ORDER BY partition_id) AS k, sum(n) OVER ()/4 AS goal FROM ids),
+fold(k, partition_id, merged, size) AS (SELECT k, partition_id, 0, n FROM sized WHERE k=1
+  UNION ALL SELECT s.k, s.partition_id, CASE WHEN f.size>=s.goal*0.8::DOUBLE THEN f.merged+1 ELSE f.merged END, CASE WHEN f.size>=s.goal*0.8::DOUBLE THEN s.n ELSE f.size+s.n END FROM fold f JOIN sized s ON s.k=f.k+1)
+SELECT CAST(partition_id AS INT) AS partition_id, CAST(merged AS INT) AS merged_id FROM fold"""
+SPATIAL = f"WITH {PTS}, v AS (SELECT p.*, e.value FROM pts p JOIN events e ON e.event_id=p.pt_id) SELECT count(*) AS n_points, count(DISTINCT taxi_id) AS n_taxis, round(avg(lat),6) AS center_lat, round(avg(lon),6) AS center_lon, round(min(lat),6) AS min_lat, round(max(lat),6) AS max_lat, round(min(lon),6) AS min_lon, round(max(lon),6) AS max_lon, round(min(value),6) AS min_value, round(max(value),6) AS max_value FROM v"
+QUALITY = f"""WITH {PTS}, v AS (SELECT p.*, e.value FROM pts p JOIN events e ON e.event_id=p.pt_id), k AS (SELECT count(*) AS n FROM v WHERE lat BETWEEN 39.4 AND 40.6 AND lon BETWEEN 115.7 AND 117.4 AND year(ts) BETWEEN 2000 AND 2030),
+u AS (SELECT 'lat' AS name, lat AS x FROM v UNION ALL SELECT 'lon', lon FROM v UNION ALL SELECT 'value', value FROM v)
+SELECT name AS "column", round(min(x),6) AS least, round(max(x),6) AS most, round(100*(count(*)-count(x))/count(*)::DOUBLE,4) AS missing_pct, (SELECT round(100*k.n/(SELECT count(*) FROM v)::DOUBLE,4) FROM k) AS retention_pct FROM u GROUP BY name"""
+MEMORY_TREND = """WITH m AS (SELECT CAST(datediff('day', DATE '1970-01-01', ts::DATE) AS BIGINT) AS seq, round(sum(value),3) AS mb FROM events GROUP BY ts::DATE, seq)
+SELECT count(*) AS n_snapshots, round(min(mb),3) AS least_mb, round(max(mb),3) AS most_mb, round(arg_max(mb,seq)-arg_min(mb,seq),3) AS growth_mb, round(CASE WHEN max(seq)>min(seq) THEN (arg_max(mb,seq)-arg_min(mb,seq))/(max(seq)-min(seq)) ELSE 0 END,6) AS growth_per_step FROM m"""
+CALLS_TOP = "SELECT event_type AS function, round(sum(value),3) AS seconds, count(*) AS n_calls FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3"

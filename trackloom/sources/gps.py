@@ -55,6 +55,18 @@ def load_all(spark: SparkSession, folder: str, sample_rate: float = 1.0, limit_p
     return read_trajectories(spark, files, limit_per_file)
 
 
+def load_sampled(spark: SparkSession, folder: str, sample_rate: float = 0.001, max_points: int | None = None, limit_per_file: int | None = 100) -> DataFrame:
+    """Trajectories of a share of the files, cleaned and resampled (five points, 150 km/h, 120 s); ``max_points`` of them by hash."""
+    from ..operators.preprocess import Preprocessing, preprocess
+    from ..operators.tuning import hash_sample
+
+    raw = load_all(spark, folder, sample_rate, limit_per_file).withColumn("pt_id", F.xxhash64("file", "pos"))
+    out = preprocess(raw, Preprocessing(min_length=5, max_speed_kmh=150.0, interval_s=120))
+    if max_points is None:
+        return out
+    return hash_sample(out.withColumn("pt_id", F.xxhash64("taxi_id", "ts")), max_points).drop("pt_id")
+
+
 def read_frame(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
     """Typed raw rows; rows that don't fit have nulls. ``n``: the first n rows of a file."""
     df = spark.read.schema(RAW).csv(path, header=False, mode="PERMISSIVE")
