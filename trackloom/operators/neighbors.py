@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geo import METRES_PER_DEGREE, cell, check_metric, distance
+from ..work import materialise
 
 
 def cell_sizes(eps: float, metric: str, widest_lat: float = 0.0) -> tuple[float, float]:
@@ -84,25 +85,29 @@ def spatial_index(points: DataFrame, size: float) -> DataFrame:
 def nearest_label(points: DataFrame, labelled: DataFrame, size: float = 0.01) -> DataFrame:
     """pt_id, label: the label of the nearest row of ``labelled`` (pt_id, lat, lon, label), ties to the smaller pt_id.
 
-    Rings of cells grow until a point's nearest found lies within the ring that is fully
-    searched; the few points left after ``rings`` doublings meet all representatives by
-    cell of growing side, so no pair of all points with all points is formed.
+    A point where a labelled row stands takes its label at once. For the rest rings of cells
+    grow until a point's nearest found lies within the ring that is fully searched, so no
+    pair of all points with all points is formed. Each round is a written table.
     """
-    todo = points.select("pt_id", "lat", "lon")
-    done = None
-    side = size
     ref = labelled.select(F.col("pt_id").alias("r_id"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), "label")
-    while True:
+    here = ref.groupBy("r_lat", "r_lon").agg(F.min_by("label", "r_id").alias("label"))
+    same = points.select("pt_id", "lat", "lon").join(here, (F.col("lat") == F.col("r_lat")) & (F.col("lon") == F.col("r_lon")), "left")
+    now = materialise(same.select("pt_id", "lat", "lon", "label", F.col("r_lat").isNotNull().alias("hit")), "nearest")
+    done, side = now.filter("hit").select("pt_id", "label"), size
+    none = ref.isEmpty()
+    while side < 360 * 8 and not none:
+        todo = now.filter("not hit").select("pt_id", "lat", "lon")
+        if todo.isEmpty():
+            break
         q = todo.select("pt_id", "lat", "lon", _around([cell(F.col("lat"), side), cell(F.col("lon"), side)]).alias("c")).select("pt_id", "lat", "lon", "c.cx", "c.cy")
         r = ref.withColumn("cx", cell(F.col("r_lat"), side)).withColumn("cy", cell(F.col("r_lon"), side))
         d = (F.col("lat") - F.col("r_lat")) * (F.col("lat") - F.col("r_lat")) + (F.col("lon") - F.col("r_lon")) * (F.col("lon") - F.col("r_lon"))
         best = q.join(r, ["cx", "cy"]).select("pt_id", "label", F.struct(d.alias("d"), "r_id").alias("k")).groupBy("pt_id").agg(F.min_by("label", "k").alias("label"), F.min("k.d").alias("d"))
-        found = best.filter(F.col("d") <= side * side).select("pt_id", "label")
-        done = found if done is None else done.unionByName(found)
-        todo = todo.join(found.select("pt_id"), "pt_id", "left_anti")
-        if side >= 360 or todo.isEmpty() or ref.isEmpty():
-            return done
+        found = best.filter(F.col("d") <= side * side).select("pt_id", "label", F.lit(True).alias("hit"))
+        now = materialise(todo.join(found, "pt_id", "left").select("pt_id", "lat", "lon", "label", F.coalesce("hit", F.lit(False)).alias("hit")), "nearest")
+        done = done.unionByName(now.filter("hit").select("pt_id", "label"))
         side *= 8
+    return done
 
 
 def majority_label(transferred: DataFrame, key: str = "taxi_id") -> DataFrame:
