@@ -15,7 +15,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = r"\### Assistant: </turn> ok"
-    extra = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    two = F.array(*[F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(k).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(odd).alias("text")) for k, role in enumerate(("user", "assistant"))])
+    extra = spark.range(1).select(F.explode(two).alias("t")).select("t.*")
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
     out = chat.format_conversations(turns)
     read = out.withColumn("turns", chat.read_turns(F.col("formatted"))).withColumn("loss", chat.loss_text(F.col("segments")))
