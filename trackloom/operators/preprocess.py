@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import REGION, in_region, known
 from ..functions.time import micros
+from ..work import materialise
 from .trajectory import in_time, movement_features, trajectory_stats
 
 
@@ -53,10 +54,14 @@ def resample(points: DataFrame, interval_s: int = 60, key: str = "taxi_id", carr
     Trajectories under two points stay. An as-of join by windows: ticks and points in one
     order, the last point before and the first after each tick.
     """
-    us = points.withColumn("_us", micros(F.col("ts")))
+    # read four times below, so written once
+    us = materialise(points.select(key, "pt_id", "ts", *carry, micros(F.col("ts")).alias("_us")), "resample")
     ends = us.groupBy(key).agg(F.min("_us").alias("_a"), F.max("_us").alias("_b"), F.count("*").alias("_n"))
     step = int(interval_s * 1_000_000)
-    ticks = ends.filter("_n > 1").select(key, F.explode(F.sequence("_a", "_b", F.lit(step))).alias("_us"))
+    # ticks in two steps, so that no array grows long with a trajectory's time
+    block = 4096 * step
+    blocks = ends.filter("_n > 1").select(key, "_b", F.explode(F.sequence("_a", "_b", F.lit(block))).alias("_a"))
+    ticks = blocks.select(key, F.explode(F.sequence("_a", F.least("_b", F.col("_a") + F.lit(block - step)), F.lit(step))).alias("_us"))
     payload = F.struct("_us", *carry)
     marked = us.join(ends.filter("_n > 1").select(key), key, "left_semi").select(key, "_us", F.lit(0).alias("_tick"), "pt_id", payload.alias("_p")).unionByName(ticks.select(key, "_us", F.lit(1).alias("_tick"), F.lit(None).cast("long").alias("pt_id")), allowMissingColumns=True)
     # points of one time: the first in order answers for all, so a tick takes it from either side
