@@ -16,7 +16,7 @@ import re
 import numpy as np
 
 #: Pieces that a worker remembers, the longest piece worth remembering, and places of the table that says which have been met before. None changes results.
-MEMO_PIECES, MEMO_CHARS, MET = 400_000, 64, 1 << 24
+MEMO_PIECES, MEMO_CHARS, MET = 1_000_000, 64, 1 << 24
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
