@@ -1,12 +1,36 @@
 """What the density queries may form: work dealt over all tasks, no list of all pairs where none is asked for."""
 
+import pytest
+
+from trackloom.operators import dbscan, neighbors, tuning
 from trackloom.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
 
+@pytest.fixture
+def joins(monkeypatch):
+    """Distance joins made: whether they are of all points."""
+    made, join = [], neighbors.eps_edges
+
+    def kept(points, eps, metric="euclidean", of=None):
+        out = join(points, eps, metric, of)
+        made.append(of is None)
+        return out
+
+    for module in (neighbors, dbscan, tuning):
+        monkeypatch.setattr(module, "eps_edges", kept, raising=False)
+    return made
+
+
 def test_the_distance_join_is_dealt_by_cell(spark):
     df = QUERIES["eps_neighbors"](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
     assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@pytest.mark.parametrize("name", ["dbscan_legacy_labels"])
+def test_no_list_of_all_pairs(spark, joins, name):
+    QUERIES[name](spark, SF)
+    assert joins and not any(joins)

@@ -3,7 +3,7 @@
 A join by distance alone would be a nested loop over all pairs; here each point is keyed
 by its grid cell, one side is exploded to the cells around, and an equi join on the cell
 carries the exact test as residual. Its output is its work: cells of eps keep candidates
-within a small factor of the true neighbours. Both sides are dealt by cell over all shuffle
+within a small factor of the true neighbours. For all points both sides are dealt by cell over all shuffle
 partitions, as the pairs, not the bytes of the points, are the work: a broadcast join would
 do them in the few tasks that read the points.
 """
@@ -50,8 +50,9 @@ def eps_edges(points: DataFrame, eps: float, metric: str = "euclidean", of: Data
     left = left.select("i", "lat1", "lon1", F.col("c.cx").alias("cx"), F.col("c.cy").alias("cy"))
     right = keyed.select(F.col("pt_id").alias("j"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "cx", "cy")
     d = distance(metric, F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
-    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left, right = left.repartition(tasks, "cx", "cy"), right.repartition(tasks, "cx", "cy").hint("merge")
+    if of is None:
+        tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        left, right = left.repartition(tasks, "cx", "cy"), right.repartition(tasks, "cx", "cy").hint("merge")
     return left.join(right, ["cx", "cy"]).filter("i <> j").select("i", "j", d.alias("dist")).filter(F.col("dist") <= eps)
 
 
