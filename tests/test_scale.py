@@ -30,7 +30,7 @@ def test_the_distance_join_is_dealt_by_cell(spark):
     assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-@pytest.mark.parametrize("name", ["dbscan_legacy_labels"])
+@pytest.mark.parametrize("name", ["dbscan_legacy_labels", "param_grid"])
 def test_no_list_of_all_pairs(spark, joins, name):
     QUERIES[name](spark, SF)
     assert joins and not any(joins)

@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from itertools import product
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..work import materialise
-from .dbscan import cluster_stats, dbscan, from_edges
-from .neighbors import eps_edges
+from .dbscan import cluster_stats, dbscan, summary
 
 
 def param_grid(points: DataFrame, eps_range: list[float], min_samples_range: list[int], metric: str = "euclidean") -> DataFrame:
-    """eps, min_samples, n_clusters, n_noise, n_core_points, position: one distance join at the largest eps serves all."""
+    """eps, min_samples, n_clusters, n_noise, n_core_points, position.
+
+    Each pair of parameters is clustered over cells: a list of all neighbour pairs at the
+    largest eps would grow with the square of the density. Up to four run at a time, as
+    most of their jobs are too short to keep all cores busy.
+    """
     spark = points.sparkSession
-    rows = []
-    if eps_range and min_samples_range:
-        edges = materialise(eps_edges(points, max(eps_range), metric), "edges")
-        for eps in eps_range:
-            near = edges.filter(F.col("dist") <= eps).select("i", "j")
-            for least in min_samples_range:
-                s = cluster_stats(from_edges(points, near, eps, least, metric)).first()
-                rows.append((float(eps), int(least), int(s["n_clusters"]), int(s["n_noise"]), int(s["n_core_points"]), len(rows)))
+    pairs = list(product(eps_range, min_samples_range))
+    with ThreadPoolExecutor(4) as pool:
+        found = list(pool.map(inheritable_thread_target(spark)(lambda p: summary(points, *p, metric).first()), pairs))
+    rows = [(float(e), int(m), int(s["n_clusters"]), int(s["n_noise"]), int(s["n_core_points"]), k) for k, ((e, m), s) in enumerate(zip(pairs, found, strict=True))]
     return spark.createDataFrame(rows, "eps double, min_samples int, n_clusters long, n_noise long, n_core_points long, position int")
 
 
