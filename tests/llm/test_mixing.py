@@ -131,3 +131,15 @@ def test_without_others_the_targets_hold():
     assert np.allclose(mixing.with_other([0.5, 0.2, 0.3], 0.0), [0.5, 0.2, 0.3, 0])
     assert np.allclose(mixing.with_other([0.2], 0.9), [0.2, 0.8])
     assert np.allclose(mixing.with_other([0.6, 0.4], 0.5), [0.3, 0.2, 0.5])
+
+def test_topics_are_fitted_on_every_document(spark):
+    """A kind of text outside any sample of 2,000 moves the centres; partitions and order do not."""
+    text = F.when(F.col("id") % 50 == 0, "id 12345 99 1234567").when(F.col("id") % 2 == 0, "a | b | 1 | 22 |").otherwise("plain words in a row")
+    df = spark.range(6000).select(text.alias("text"), ((F.pmod(F.xxhash64("id"), F.lit(1 << 30)) + 1) / float(1 << 30)).alias("u"))
+    rows = df.select(mixing.shapes_and_tokens(F.col("text"))["shapes"].alias("shapes"), "text", "u")
+    centres = mixing.fit_topics(rows)
+    assert np.allclose(centres, mixing.fit_topics(rows.repartition(7)), rtol=0, atol=0)
+    told = rows.select("text", mixing.topic_of(centres)("shapes").alias("t")).distinct().collect()
+    assert len(told) == 3 and len({r["t"] for r in told}) == 3
+    x, n = mixing.shape_counts([r["text"] for r in told])
+    assert np.allclose(mixing.unpacked(mixing.packed(x)) / (1 << 24), mixing._unit(x), atol=1e-7)

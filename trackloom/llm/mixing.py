@@ -12,9 +12,9 @@ that reaches the driver.
 
 Topics are fitted: a document is the shapes of its words (runs of letters, runs of digits and
 what stands around them, so alike in every language), counted in ``SHAPES`` buckets; their
-square roots, scaled to length 1, are clustered by spherical k-means on a sample of at most
-``sample_docs`` documents chosen by hash (``fit_topics``). Every whole text is then assigned
-to the nearest centre.
+square roots, scaled to length 1, are clustered by spherical k-means over all documents
+(``fit_topics``); the counts are written once, so texts are read once. Every whole text is
+then assigned to the nearest centre.
 
 Token weights of the cells are raked to each marginal in turn until all hold, which keeps the
 odds ratios of the corpus. Each cell's weight (raked over observed share) times one constant
@@ -41,6 +41,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,48 +86,115 @@ def _unit(counts: np.ndarray) -> np.ndarray:
     return np.sqrt(counts / np.maximum(1, counts.sum(axis=1, keepdims=True)))
 
 
-def fit_topics(docs: DataFrame, *, topics: int = 6, sample_docs: int = 2000, rounds: int = 30, seed: int = 3, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """Centres (topics, SHAPES) fitted on at most ``sample_docs`` documents with words; none if there is no such document."""
-    text = F.col(f"`{text_col}`").cast("string")
-    deal = F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), text)
-    n = docs.count()
-    rows = docs.select(text.alias("text"), deal.alias("deal")).filter(F.pmod("deal", F.lit(1 << 31)) < min(1.0, 2 * sample_docs / max(1, n)) * (1 << 31))
+def packed(counts: np.ndarray) -> list[bytes]:
+    """Each row's filled buckets as bytes: 2 of the bucket and 4 of the square root of its share, in 2^-24."""
+    shares = np.rint(_unit(counts) * (1 << 24)).astype("<i4")
+    out = []
+    for row in shares:
+        at = np.flatnonzero(row)
+        got = np.empty(len(at), _ENTRY)
+        got["at"], got["x"] = at, row[at]
+        out.append(got.tobytes())
+    return out
 
-    @F.pandas_udf("array<long>")
-    def counts(text: pd.Series) -> pd.Series:
-        return pd.Series([x.astype(np.int64) for t in text for x in shape_counts([t])[0]], dtype=object)
 
-    got = rows.select("deal", counts("text").alias("n")).distinct().orderBy("deal").limit(sample_docs).collect()
-    x = _unit(np.array([r["n"] for r in got if sum(r["n"])], dtype=np.float64).reshape(-1, SHAPES))
-    if not len(x):
+_ENTRY = np.dtype([("at", "<u2"), ("x", "<i4")])
+
+
+def unpacked(shapes: list[bytes]) -> np.ndarray:
+    """The rows of ``packed`` (rows, SHAPES), whole numbers."""
+    flat = np.frombuffer(b"".join(shapes), _ENTRY)
+    out = np.zeros((len(shapes), SHAPES), np.int64)
+    out[np.repeat(np.arange(len(shapes)), [len(s) // _ENTRY.itemsize for s in shapes]), flat["at"]] = flat["x"]
+    return out
+
+
+def fit_topics(rows: DataFrame, *, topics: int = 6, rounds: int = 30) -> np.ndarray:
+    """Centres (topics, SHAPES) fitted on all ``rows`` (shapes, u) with words; none if there is no such row.
+
+    Spherical k-means. Every pass reads all rows; a task returns whole-number sums by centre,
+    so centres depend neither on the partitions nor on their order. The first centre is the
+    mean; each next one is a document drawn from all (by its hash) in proportion to how far
+    it lies from those before.
+    """
+    rows = rows.filter(F.octet_length("shapes") > 0).select("shapes", "u")
+    schema = pa.schema([("k", pa.int32()), ("key", pa.float64()), ("sum", pa.binary())])
+
+    def one_pass(centres: np.ndarray, draw: bool):
+        def sums(batches):
+            total, best = np.zeros((max(1, len(centres)), SHAPES), np.int64), None
+            for batch in batches:
+                shapes, u = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+                for a in range(0, len(shapes), 2000):
+                    part = shapes[a : a + 2000]
+                    x = unpacked(part)
+                    like = x.astype(np.float64) / (1 << 24) @ centres.T if len(centres) else np.zeros((len(x), 1))
+                    near = np.argmax(like, axis=1)
+                    if not draw:
+                        for k in range(len(total)):
+                            total[k] += x[near == k].sum(axis=0)
+                        continue
+                    far = np.maximum(1e-12, 1 - like.max(axis=1))
+                    key = -np.log(np.maximum(u[a : a + 2000], 1e-18)) / far  # least of exponentials: a draw in proportion to far
+                    for k in np.flatnonzero(key == key.min()):
+                        best = min(best or (np.inf, b""), (float(key[k]), part[k]))
+            if draw:
+                key, shape = best or (np.inf, b"")
+                yield pa.RecordBatch.from_pydict({"k": [0], "key": [key], "sum": [shape]}, schema)
+            else:
+                yield pa.RecordBatch.from_pydict({"k": list(range(len(total))), "key": [0.0] * len(total), "sum": [t.tobytes() for t in total]}, schema)
+
+        return rows.mapInArrow(sums, "k int, key double, sum binary")
+
+    def moved(centres: np.ndarray) -> np.ndarray:
+        total = np.zeros((max(1, len(centres)), SHAPES), np.int64)
+        for r in one_pass(centres, False).collect():  # a few rows a partition
+            total[r["k"]] += np.frombuffer(r["sum"], np.int64)
+        length = np.linalg.norm(total, axis=1, keepdims=True)
+        return np.where(length > 0, total / np.maximum(length, 1), centres if len(centres) else 0.0)
+
+    centres = moved(np.zeros((0, SHAPES)))
+    if not centres.any():
         return np.zeros((0, SHAPES))
-    # the first centre is the mean, each next one the document least like those before
-    centres = [x.mean(axis=0) / np.linalg.norm(x.mean(axis=0))]
-    while len(centres) < min(topics, len(x)):
-        centres.append(x[np.argmin((x @ np.array(centres).T).max(axis=1))])
-    centres = np.array(centres)
+    while len(centres) < topics:
+        r = one_pass(centres, True).filter(F.octet_length("sum") > 0).orderBy("key", "sum").first()  # one row a partition
+        x = unpacked([bytes(r["sum"])])[0] / (1 << 24)
+        if 1 - (centres @ x).max() < 1e-9:  # fewer kinds of documents than topics
+            break
+        centres = np.vstack([centres, x])
     for _ in range(rounds):
-        near = np.argmax(x @ centres.T, axis=1)
-        moved = np.array([x[near == k].sum(axis=0) if (near == k).any() else centres[k] for k in range(len(centres))])
-        moved /= np.linalg.norm(moved, axis=1, keepdims=True)
-        if np.allclose(moved, centres):
+        old, centres = centres, moved(centres)
+        if np.allclose(old, centres):
             break
-        centres = moved
     return centres
 
 
-def topic_and_tokens(centres: np.ndarray):
-    """A function of a text column: struct of topic (null without words) and tokens (words)."""
+def shapes_and_tokens(text: Column) -> Column:
+    """Struct of the shapes of a text's words (``packed``, empty without words) and their number."""
 
-    @F.pandas_udf("topic string, tokens long")
+    @F.pandas_udf("shapes binary, tokens long")
     def told(text: pd.Series) -> pd.DataFrame:
-        names, tokens = [], []
+        shapes, tokens = [], []
         for a in range(0, len(text), 500):
             counts, n = shape_counts(text.iloc[a : a + 500].tolist())
-            near = np.argmax(_unit(counts) @ centres.T, axis=1) if len(centres) else np.zeros(len(n), int)
-            names += [f"topic{k}" if m else None for k, m in zip(near.tolist(), n.tolist(), strict=True)]
+            shapes += packed(counts)
             tokens += n.tolist()
-        return pd.DataFrame({"topic": pd.Series(names, dtype=object), "tokens": pd.Series(tokens, dtype="int64")})
+        return pd.DataFrame({"shapes": pd.Series(shapes, dtype=object), "tokens": pd.Series(tokens, dtype="int64")})
+
+    return told(text)
+
+
+def topic_of(centres: np.ndarray):
+    """A function of a column of ``packed`` shapes: the nearest centre's topic (null without words)."""
+
+    @F.pandas_udf("string")
+    def told(shapes: pd.Series) -> pd.Series:
+        names = []
+        for a in range(0, len(shapes), 2000):
+            part = [bytes(s) for s in shapes.iloc[a : a + 2000]]
+            near = np.argmax(unpacked(part) / (1 << 24) @ centres.T, axis=1) if len(centres) else np.zeros(len(part), int)
+            names += [f"topic{k}" if s else None for k, s in zip(near.tolist(), part, strict=True)]
+        return pd.Series(names, dtype=object)
 
     return told
 
@@ -185,12 +253,11 @@ def mix(
     dims = list(targets)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     column = lambda c: F.col(f"`{c}`").cast("string") if c in docs.columns else F.lit(None).cast("string")
-    centres = fit_topics(docs, id_col=id_col, text_col=text_col) if "topic" in dims and not (classes or {}).get("topic") else np.zeros((0, SHAPES))
     u = F.pmod(F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), text), F.lit(1 << 53)).cast("double") / float(1 << 53)
-    told = docs.select(F.struct(*[F.col(f"`{c}`") for c in (keep or docs.columns)]).alias("row"), topic_and_tokens(centres)(text).alias("told"), u.alias("u"), *((classes or {}).get(d, column(d) if d != "topic" else F.lit(None).cast("string")).alias(f"v_{d}") for d in dims))
+    told = docs.select(F.struct(*[F.col(f"`{c}`") for c in (keep or docs.columns)]).alias("row"), shapes_and_tokens(text).alias("told"), u.alias("u"), *((classes or {}).get(d, column(d) if d != "topic" else F.lit(None).cast("string")).alias(f"v_{d}") for d in dims))
+    rows = materialise(told.select("row", F.col("told.tokens").alias("tokens"), F.col("told.shapes").alias("shapes"), "u", *(f"v_{d}" for d in dims)), "classed")
     if "topic" in dims and not (classes or {}).get("topic"):
-        told = told.withColumn("v_topic", F.col("told.topic"))
-    rows = materialise(told.select("row", F.col("told.tokens").alias("tokens"), "u", *(f"v_{d}" for d in dims)), "classed")
+        rows = rows.withColumn("v_topic", topic_of(fit_topics(rows))("shapes"))
     total = rows.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     names = []
     for d in dims:
